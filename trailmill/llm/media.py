@@ -14,13 +14,13 @@ rows and repeated doc_ids each give a row.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +115,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
     schema = "digest binary, packed binary"
 
     def run(batches):
-        to, sent, z = arrow(schema), set(), zstandard.ZstdCompressor(level=6)
+        to, sent = arrow(schema), set()
         for b in pieces(batches):
             found = {}
             for t in raw(b):
@@ -124,7 +124,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
             if len(sent) > 1_000_000:  # bounded memory: copies beyond it fall to the group by digest
                 sent.clear()
             sent.update(d for d, _ in fresh)
-            yield out(to, [d for d, _ in fresh], [z.compress(c) for _, c in fresh])
+            yield out(to, [d for d, _ in fresh], [bz2.compress(c) for _, c in fresh])
 
     return id_and_text(docs).mapInArrow(run, schema).groupBy("digest").agg(F.first("packed").alias("packed"))
 
@@ -136,12 +136,12 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     parts = wanted.join(store, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "digest", "packed")).alias("parts"))
 
     def run(batches):
-        to, z = arrow(schema), zstandard.ZstdDecompressor()
+        to = arrow(schema)
         for b in batches:
             for i in range(b.num_rows):
                 rows = []
                 listed = sorted(b.column("parts")[i].as_py(), key=lambda p: p["at"])
-                got = [(p["digest"], z.decompress(p["packed"])) for p in listed]
+                got = [(p["digest"], bz2.decompress(p["packed"])) for p in listed]
                 for d, c in got:
                     if hashlib.blake2b(c, digest_size=16).digest() != d:
                         raise ValueError("a stored chunk does not match its digest")
