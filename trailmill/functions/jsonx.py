@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _canonical(text: str | None, spaced: bool) -> str | None:
@@ -22,14 +23,14 @@ def _canonical(text: str | None, spaced: bool) -> str | None:
 def canonical(text: Column, spaced: bool = False) -> Column:
     """Sorted keys, fixed separators; a text that is not JSON is only stripped; null stays null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: _canonical(x, spaced))
 
     return run(text)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def semantic_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     """Both parse and are equal as Python values (1 == 1.0 == true); else equal as texts. Null is no text: false."""
 
@@ -44,7 +45,7 @@ def semantic_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def output_fields(text: pd.Series) -> pd.Series:
     """Of a JSON object only `output` and `exception`; any other text, and an object without both, unchanged."""
 
@@ -79,6 +80,6 @@ def _tool_call(text: str | None) -> tuple[str | None, str | None]:
         return None, None
 
 
-@F.pandas_udf("name string, arguments string")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())]))
 def tool_call(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_tool_call(x) for x in text], columns=["name", "arguments"])

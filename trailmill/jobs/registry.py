@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmill.jobs import chats, trajectories
+from trailmill.jobs import chats, scores, stores, trajectories
 
-QUERIES = chats.QUERIES | trajectories.QUERIES
-ORACLE_SQL = chats.ORACLE_SQL | trajectories.ORACLE_SQL
+QUERIES = chats.QUERIES | trajectories.QUERIES | scores.QUERIES | stores.QUERIES
+ORACLE_SQL = chats.ORACLE_SQL | trajectories.ORACLE_SQL | scores.ORACLE_SQL | stores.ORACLE_SQL

@@ -17,7 +17,7 @@ def _flags(spark, sf_dir):
 
 
 def traj_loop_flags(spark, sf_dir):
-    return _flags(spark, sf_dir).select(KEY, "event_id", F.col("n").cast("long").alias("n"), "aaa", "abab", "streak", F.col("recent").cast("long").alias("recent"))
+    return _flags(spark, sf_dir).select(KEY, "event_id", F.col("n").cast("long").alias("n"), "aaa", "abab", "streak", F.coalesce(F.col("recent").cast("long"), F.lit(-1)).alias("recent"))
 
 
 def traj_quality(spark, sf_dir):
@@ -117,7 +117,7 @@ KILLS = {
 KILLS_SQL = f"WITH {flags_sql()}, kills AS (" + " UNION ALL ".join(f"SELECT user_id, min(n) AS turns, min_by({k}, n) AS kill, '{r}' AS rule FROM f WHERE {k} IS NOT NULL GROUP BY user_id" for r, k in KILLS.items()) + ")"
 
 ORACLE_SQL = {
-    "traj_loop_flags": f"WITH {flags_sql()} SELECT user_id, event_id, n, aaa, abab, streak, recent FROM f",
+    "traj_loop_flags": f"WITH {flags_sql()} SELECT user_id, event_id, n, aaa, abab, streak, coalesce(recent, -1) AS recent FROM f",
     "traj_quality": f"""WITH {flags_sql()},
 i AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
 r AS (SELECT user_id, max(c) AS m FROM (SELECT user_id, event_type, g, count(*) AS c FROM i GROUP BY ALL) GROUP BY user_id)
