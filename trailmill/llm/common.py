@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; a longer single text stands alone.
 BATCH_BYTES = 2_000_000
+#: Rows handled at once at most.
+ROWS_AT_ONCE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +60,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0))
-        block = np.cumsum(sizes, dtype=np.int64) // most
-        edges = np.flatnonzero(np.diff(block)) + 1
+        block = np.maximum(np.cumsum(sizes, dtype=np.int64) // most, np.arange(batch.num_rows) // ROWS_AT_ONCE)
+        edges = np.flatnonzero(np.diff(block)) + 1  # both parts of block only rise
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
 
@@ -108,16 +110,27 @@ class WordTable(dict):
         self.fresh.append(word)
         return n
 
-    def look(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """For each property, its values for ``words``, in order."""
-        if len(self) > self.limit:
-            self.clear()
-            self.fresh, self.rows = [], ()
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of ``words``; what is known of row i stands at i of each array in ``rows``."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh or not self.rows:
             new = self.describe(self.fresh)
             self.rows = tuple(np.concatenate([a, b]) for a, b in zip(self.rows, new, strict=True)) if self.rows else new
             self.fresh = []
+        return at
+
+    def trim(self) -> bool:
+        """Empties a table that has become too large; row numbers begin anew."""
+        if len(self) <= self.limit:
+            return False
+        self.clear()
+        self.fresh, self.rows = [], ()
+        return True
+
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For each property, its values for ``words``, in order."""
+        self.trim()
+        at = self.find(words)
         return tuple(r[at] for r in self.rows)
 
 

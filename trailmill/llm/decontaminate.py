@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import WordTable, arrow, mix, out, pieces, raw, table, windows
+from trailmill.llm.common import WordTable, arrow, mix, out, pieces, raw, stored, table, windows
 
 WINDOW, SHORTEST = 8, 5
 LEAST_COVER, LEAST_AGREEMENT = 0.3, 0.8
 #: Most distinct benchmark windows that are shipped to every task (8 bytes each); beyond it windows are joined by shuffle.
 SHIPPED = 1_000_000
 #: Units of measure.
-UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ dollar dollars € euro euros £ pound pounds cent cents mph kmh degrees".split())
+UNITS = frozenset(w.encode() for w in "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ dollar dollars € euro euros £ pound pounds cent cents mph kmh degrees".split())
 MARKS = b" .,;:!?\"'()[]{}|*#&<>_-"
 NUMBER = re.compile(rb"[$+-]?\d[\d.,/]*(?:st|nd|rd|th|%)?")
 NAME, NUMERAL, UNIT = 3, 1, 2
@@ -39,43 +39,43 @@ SLOT = mix(np.arange(0, 4, dtype=np.uint64) + np.uint64(1))
 def describe(words: list[bytes]) -> tuple[np.ndarray, ...]:
     """Hash of the bare word, its kind without regard to what stands before it, whether it is capitalised, whether it ends a sentence."""
     n = len(words)
-    value, kind, capital, ends = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool)
+    kind, capital, ends, bares = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), []
     for i, w in enumerate(words):
         bare = w.strip(MARKS)
-        if not bare.isascii():
-            text = bare.decode("utf-8", "replace")
-            capital[i], bare = text[:1].isupper() and not text.isupper(), text.lower().encode()
+        if bare.isascii():
+            low = bare.lower()
+            if low != bare:
+                capital[i] = bare[0] != low[0] and not bare[1:2].isupper()
         else:
-            capital[i], bare = bare[:1].isupper() and not bare[1:2].isupper(), bare.lower()
-        value[i] = xxhash.xxh3_64_intdigest(bare)
-        if NUMBER.fullmatch(bare):
+            text = bare.decode("utf-8", "replace")
+            capital[i], low = text[:1].isupper() and not text.isupper(), text.lower().encode()
+        bares.append(low)
+        if low[:1] in b"0123456789$+-" and NUMBER.fullmatch(low):
             kind[i] = NUMERAL
-        elif (bare.decode() if bare else w.decode("utf-8", "replace")) in UNITS:
+        elif (low or w) in UNITS:
             kind[i] = UNIT
-        ends[i] = w[-1:] in b".!?:|"
-    return value, kind, capital, ends
+        ends[i] = w[-1] in b".!?:|"
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, bares), np.uint64, n), kind, capital, ends
 
 
-def templates(texts: list[bytes], words: WordTable, n: int = WINDOW):
-    """For each text: window hashes, and value and kind of each token. A window of more slots than words has none (hash 0)."""
+def templates(texts: list[bytes], words: WordTable):
+    """Of all texts in a row: value, kind and template hash of each token, and where each text begins (and the end)."""
     split = [t.split() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in split])])
     value, kind, capital, ends = words.look([w for s in split for w in s])
-    ends_before = np.concatenate([[True], ends[:-1]])
-    kind = np.where((kind == 0) & capital & ~ends_before, NAME, kind)
-    shape = np.where(kind > 0, SLOT[kind], value)
-    at = 0
-    for s in split:
-        v, k, t = value[at : at + len(s)], kind[at : at + len(s)], shape[at : at + len(s)].copy()
-        if len(s) and k[0] == NAME:  # the first word begins a sentence
-            k, t = k.copy(), t
-            k[0], t[0] = 0, v[0]
-        at += len(s)
-        size = min(n, len(s))
-        w = windows(t, size) if size >= SHORTEST else np.zeros(0, np.uint64)
-        if len(w):
-            slots = np.concatenate([[0], np.cumsum(k > 0)])
-            w[slots[size:] - slots[:-size] > size // 2] = 0
-        yield w.view(np.int64), v.view(np.int64), k, size
+    begins = np.concatenate([[True], ends[:-1]]) if len(ends) else ends
+    begins[starts[:-1][starts[:-1] < len(begins)]] = True  # the first word of a text begins a sentence
+    kind = np.where((kind == 0) & capital & ~begins, NAME, kind)
+    return value.view(np.int64), kind, np.where(kind > 0, SLOT[kind], value), starts
+
+
+def window_hashes(shape: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window; 0 for one that has more slots than words."""
+    w = windows(shape, size)
+    if len(w):
+        slots = np.concatenate([[0], np.cumsum(kind > 0)])
+        w[slots[size:] - slots[:-size] > size // 2] = 0
+    return w.view(np.int64)
 
 
 WINDOWS = "id long, h long, at int, size int, values array<long>"
@@ -92,23 +92,23 @@ def text_windows(rows: DataFrame, short: bool, wanted=None) -> DataFrame:
             mask = np.zeros(1 << 22, bool)
             mask[keep & (len(mask) - 1)] = True
         for b in pieces(batches):
-            ids, hs, ats, sizes, values = [], [], [], [], []
-            for i, (w, v, k, size) in zip(b.column("id").to_pylist(), templates(raw(b), words), strict=True):
-                if not len(w) or size < WINDOW and not short:
-                    continue
-                at = np.flatnonzero(w)
-                if keep is not None:
-                    at = at[mask[w[at] & (len(mask) - 1)]]
-                    at = at[np.isin(w[at], keep)] if len(at) else at
+            value, kind, shape, starts = templates(raw(b), words)
+            n = np.diff(starts)
+            found = [(WINDOW, 0, window_hashes(shape, kind, WINDOW))]
+            for i in np.flatnonzero((n >= SHORTEST) & (n < WINDOW)).tolist() if short else ():
+                a, z = starts[i], starts[i + 1]
+                found.append((int(n[i]), a, window_hashes(shape[a:z], kind[a:z], int(n[i]))))
+            for size, first, w in found:
+                at = np.flatnonzero(w if keep is None else mask[w & (len(mask) - 1)])
+                at = at[np.isin(w[at], keep) & (w[at] != 0)] if keep is not None else at
+                text = np.searchsorted(starts, at + first, "right") - 1
+                inside = at + first + size <= starts[text + 1]  # a window lies within one text
+                at, text = at[inside], text[inside]
                 if len(at):
-                    ids += [i] * len(at)
-                    hs.append(w[at])
-                    ats.append(at)
-                    sizes += [size] * len(at)
-                    values.append(np.where(k > 0, v, 0)[at[:, None] + np.arange(size)].ravel())
-            if ids:
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield out(to, ids, np.concatenate(hs), np.concatenate(ats).astype(np.int32), np.array(sizes, np.int32), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values))))
+                    where = (at + first)[:, None] + np.arange(size)
+                    values = np.where(kind[where] > 0, value[where], 0).ravel()
+                    ends = np.arange(len(at) + 1, dtype=np.int32) * size
+                    yield out(to, b.column("id").take(pa.array(text)), w[at], (at + first - starts[text]).astype(np.int32), np.full(len(at), size, np.int32), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
 
     return rows.mapInArrow(run, WINDOWS)
 
@@ -127,7 +127,7 @@ def leaks(docs: DataFrame, bench: DataFrame, shipped: int = SHIPPED, least_cover
         found = text_windows(rows, short=True)
     total = wanted.groupBy("id").agg(F.count("*").alias("total"))
     hit = found.join(wanted.select("h", "size", F.col("id").alias("item_id"), F.col("at").alias("place"), F.col("values").alias("own")), ["h", "size"])
-    same = hit.withColumnRenamed("id", "doc_id").withColumn("same", F.col("values") == F.col("own"))
+    same = stored(hit.withColumnRenamed("id", "doc_id").withColumn("same", F.col("values") == F.col("own")), "hits")
     cover = same.groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
     slots = same.select("doc_id", "item_id", F.explode(F.arrays_zip("own", "values")).alias("s")).where("s.own <> 0").select("doc_id", "item_id", "s.own", "s.values").distinct()
     agree = slots.groupBy("doc_id", "item_id").agg((F.count_distinct("own") / F.count("*")).alias("agreement"))
