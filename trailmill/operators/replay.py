@@ -38,13 +38,20 @@ PHRASES = [
 FLAGS = {"clean": "clean", "heat": "hot", "cool": "cool", "slice": "sliced", "use": "on"}
 
 
+def _told(rank: int, kind: str, things: Column, others: Column | None) -> Column:
+    def one(thing: Column, i: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lit(kind).alias("kind"), thing.alias("thing"), (F.get(others, i) if others is not None else F.lit(None).cast("string")).alias("other"))
+
+    return F.transform(things, one)
+
+
 def events(messages: DataFrame, key: str, turn: str, content: str, role: str | None = "role", roles: tuple[str, ...] = ("user", "tool")) -> DataFrame:
     """key, turn, rank, pos, kind, thing, other: a row for each event in each message of the roles named (None: of all)."""
     rows = messages.where(F.col(role).isin(*roles)) if role and roles else messages
     found = []
     for rank, (kind, pattern, groups) in enumerate(PHRASES):
         things, others = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(1)), F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(groups))
-        found.append(F.transform(F.arrays_zip(things.alias("thing"), others.alias("other")), lambda e, i, rank=rank, kind=kind, groups=groups: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lit(kind).alias("kind"), e["thing"].alias("thing"), (e["other"] if groups == 2 else F.lit(None).cast("string")).alias("other"))))
+        found.append(_told(rank, kind, things, others if groups == 2 else None))
     return rows.select(key, turn, F.explode(F.concat(*found)).alias("e")).select(key, turn, "e.*")
 
 

@@ -59,30 +59,24 @@ def app_question(completed: Column, contained: Column, numeric: Column, value: C
 
 def app_factors(r: Column, invalid_ratio: Column, used_password: Column, placeholder: Column, schema_args: Column, form: Column, completed: Column) -> Column:
     r = r * F.greatest(F.lit(0.1), 1.0 - invalid_ratio)
-    r = F.when(~used_password, r * 0.1).otherwise(r)
-    r = F.when(placeholder, r * 0.2).otherwise(r)
-    r = F.when(schema_args, r * 0.3).otherwise(r)
-    return F.when(completed, r * form).otherwise(r)
+    for condition, factor in ((~used_password, 0.1), (placeholder, 0.2), (schema_args, 0.3), (completed, form)):
+        r = r * F.when(condition, factor).otherwise(1.0)
+    return r
 
 
 def app_action(c: dict[str, Column]) -> Column:
     """An action task. ``c``: calls, repeated, responses, successes, data, password, credentials, placeholder, schema_args,
     invalid_ratio, completed, final_call, preamble, acted, mismatch, form."""
-    has = c["responses"] > 0
-    r = F.when(has, 0.6 * c["successes"] / c["responses"] + F.when(c["data"] > 0, 0.1).otherwise(0.0)).otherwise(0.05)
+    has, done, success = c["responses"] > 0, c["completed"], c["successes"] > 0
+
+    def factor(condition: Column, by) -> Column:
+        return F.when(condition, by).otherwise(1.0)
 
-    def times(condition: Column, factor, r: Column) -> Column:
-        return F.when(condition, r * factor).otherwise(r)
-
-    r = times((c["calls"] > 2) & (c["repeated"] / F.greatest(c["calls"], F.lit(1)) > 0.5), 0.5, r)
-    r = times(~c["password"] & has, 0.1, r)
-    r = F.when(c["credentials"], r + 0.2).otherwise(r)
-    r = times(c["placeholder"], 0.2, r)
-    r = times(c["schema_args"], 0.3, r)
-    r = r * F.greatest(F.lit(0.1), 1.0 - c["invalid_ratio"])
-    r = F.when(~c["completed"] & has, F.when(~c["final_call"], r * 0.3).when(c["preamble"] > 50, r * 0.5).otherwise(r)).otherwise(r)
-    success = c["successes"] > 0
-    r = F.when(c["completed"], r + F.when(c["acted"] & success, 0.3).when(success, 0.1).otherwise(0.05)).otherwise(r * F.when(c["acted"] & (c["calls"] >= 8), 0.7).otherwise(0.5))
-    r = times(c["mismatch"], 0.3, r)
-    r = times(c["completed"], c["form"], r)
+    r = F.when(has, 0.6 * c["successes"] / c["responses"] + F.when(c["data"] > 0, 0.1).otherwise(0.0)).otherwise(0.05)
+    r = r * factor((c["calls"] > 2) & (c["repeated"] / F.greatest(c["calls"], F.lit(1)) > 0.5), 0.5) * factor(~c["password"] & has, 0.1)
+    r = r + F.when(c["credentials"], 0.2).otherwise(0.0)
+    r = r * factor(c["placeholder"], 0.2) * factor(c["schema_args"], 0.3) * F.greatest(F.lit(0.1), 1.0 - c["invalid_ratio"])
+    r = r * factor(~done & has, F.when(~c["final_call"], 0.3).when(c["preamble"] > 50, 0.5).otherwise(1.0))
+    r = r * factor(~done, F.when(c["acted"] & (c["calls"] >= 8), 0.7).otherwise(0.5)) + F.when(done, F.when(c["acted"] & success, 0.3).when(success, 0.1).otherwise(0.05)).otherwise(0.0)
+    r = r * factor(c["mismatch"], 0.3) * factor(done, c["form"])
     return F.when(c["calls"] == 0, 0.0).otherwise(F.least(r, F.lit(1.0)))

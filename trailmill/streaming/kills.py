@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "rid string, turn long, kill string"
+#: A trajectory without an event for so long (in event time) is forgotten.
+IDLE_MS = 30 * 24 * 3600 * 1000
 STATE = "turn long, a1 string, a2 string, a3 string, streak int, killed boolean"
 
 
@@ -32,13 +34,13 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             found.append((key[0], turn, kill))
         a1, a2, a3 = action, a1, a2
     state.update((turn, a1, a2, a3, streak, killed))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame(found, columns=["rid", "turn", "kill"])
 
 
-def kills(events: DataFrame) -> DataFrame:
+def kills(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """rid, ts, event_id, action, nothing (stream) -> the first violation of each trajectory, as it happens."""
-    return events.groupBy("rid").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("rid").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_rates(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
