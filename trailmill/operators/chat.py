@@ -65,8 +65,9 @@ def rename_all(text: Column, names: list[tuple[str, str]]) -> Column:
 def swap_first_block(text: Column, begin: str, end: str, new: Column) -> Column:
     """The first ``begin ... end`` replaced; a text without one stays as it is."""
     a = F.instr(text, F.lit(begin))
-    b = F.locate(end, text, a + len(begin)) if not isinstance(end, Column) else None
-    return F.when((a > 0) & (b > 0), F.concat(F.substr(text, F.lit(1), a - 1), F.lit(begin), new, F.substr(text, b))).otherwise(text)
+    inner = F.substr(text, a + len(begin))
+    b = F.instr(inner, F.lit(end))
+    return F.when((a > 0) & (b > 0), F.concat(F.substr(text, F.lit(1), a - 1 + len(begin)), new, F.substr(inner, b))).otherwise(text)
 
 
 def replace_section(text: Column, title: str, before: str, new: Column) -> Column:
