@@ -10,7 +10,8 @@ whole texts, by the exact probability Jaccard of the same weights.
 Work by group size. Equal texts are one node. In a bucket each node is verified against ``LEADERS`` of it (linear in
 the bucket). Links make components; then only nodes of *different* components that share a bucket
 and weren't verified are compared, so a large group of near copies, once joined, sends no pairs. No partner
-and no bucket is capped.
+and no bucket is capped. Before texts are fetched, 4 bits of each register estimate the similarity inside the
+join; pairs that are three standard errors below the threshold go no further.
 
 Result: each doc_id once, with class_id, the least doc_id of its class. Null or empty texts are equal texts. Rows that share a
 doc_id are one document, and so one class. Rows without doc_id are left out. Empty tables give no rows.
@@ -32,6 +33,8 @@ WORDS, SIMILAR = 5, 0.8
 #: 32 bands of 8 registers: of pairs at 0.8, 997 of 1000 share a band; links within a class make up for the rest.
 BANDS, ROWS = 32, 8
 LEADERS = 3
+#: Longs that hold 4 bits of each register, and the standard errors that an estimate may lie below the threshold.
+PACKED, ERRORS = BANDS * ROWS // 16, 3.0
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,23 +43,25 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, 1 + np.log(n)
 
 
+#: Arrivals drawn at once: in the first step as a multiple of what all registers need on average, then for each shingle.
+FIRST_TAKE, NEXT_TAKE = 2.0, 8
+
+
 def prob_min_hash(keys: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     """The key that first reaches each of m registers."""
-    n = len(keys)
     first, holder = np.full(m, np.inf), np.zeros(m, np.uint64)
-    times, base, w, step = np.zeros(n), keys, weights, 0
+    times, base, w, step = np.zeros(len(keys)), keys, weights, 0
     while len(base):
-        take = max(1, int(1.3 * m * np.log(m) / len(base))) if not step else 1  # arrivals at once: about those all registers need
+        take = max(1, int(FIRST_TAKE * m * np.log(m) / len(base))) if not step else NEXT_TAKE 
         h = mix(base[:, None] + (np.arange(step, step + take, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
         at = times[:, None] + np.cumsum(-np.log(((h >> np.uint64(12)).astype(np.float64) + 1) / (1 << 52)), 1) / w[:, None]
         register = (h & np.uint64(4095)).astype(np.int64) % m
-        flat_at, flat_r = at.ravel(), register.ravel()
-        order = np.argsort(-flat_at, kind="stable")  # the earliest is written last
-        best, who = np.full(m, np.inf), np.zeros(m, np.uint64)
-        best[flat_r[order]] = flat_at[order]
-        who[flat_r[order]] = np.repeat(base, take)[order]
-        earlier = best < first
-        first[earlier], holder[earlier] = best[earlier], who[earlier]
+        last = first.max()
+        row, k = np.nonzero(at < last)
+        t, r = at[row, k], register[row, k]
+        np.minimum.at(first, r, t)
+        best = t == first[r]
+        holder[r[best]] = base[row[best]]
         alive = at[:, -1] < first.max()
         times, base, w, step = at[alive, -1], base[alive], w[alive], step + take
     return holder
@@ -86,23 +91,41 @@ def hashed(texts: list[str], words: WordTable) -> list[np.ndarray]:
     return np.split(h, np.cumsum([len(s) for s in split])[:-1]) if split else []
 
 
+def agreement(a, b):
+    """Estimated similarity from the packed registers of two nodes: equal 4-bit groups, less those equal by chance."""
+    unequal = F.lit(0)
+    for i in range(PACKED):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return 1 - unequal / (BANDS * ROWS) * (16 / 15)
+
+
+def near_enough(least: float) -> float:
+    p = least + (1 - least) / 16
+    return least - ERRORS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 * 16 / 15
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, and its band hashes (none for texts without words)."""
-    schema = "doc_id long, digest binary, bands array<long>"
+    """doc_id, digest of the text, its band hashes and its packed registers (none for texts without words)."""
+    schema = "doc_id long, digest binary, bands array<long>, bits array<long>"
 
     def run(batches):
         to, words = arrow(schema), WordTable(word_hashes)
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in pieces(batches):
             texts = b.column("text").to_pylist()
-            bands = []
+            bands, bits = [], []
             for h in hashed(texts, words):
                 if not len(h):
                     bands.append([])
+                    bits.append([])
                     continue
-                own = prob_min_hash(*shingles(h), BANDS * ROWS).reshape(BANDS, ROWS)
-                bands.append(mix(mix(own).sum(1, dtype=np.uint64) + salt).view(np.int64))
-            yield out(to, b.column("doc_id"), [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], pa.array(bands, pa.list_(pa.int64())))
+                own = mix(prob_min_hash(*shingles(h), BANDS * ROWS))
+                bits.append(np.bitwise_or.reduce((own & np.uint64(15)).reshape(PACKED, 16) << np.arange(0, 64, 4, dtype=np.uint64), 1).view(np.int64))
+                bands.append(mix(own.reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + salt).view(np.int64))
+            yield out(to, b.column("doc_id"), [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())))
 
     return id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, schema)
 
@@ -131,23 +154,28 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id."""
     marked = stored(sketches(docs), "sketches")
-    copies = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    copies = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(copies, "nodes")
     same = marked.select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     buckets = nodes.select("rep", F.explode("bands").alias("band"))
     order = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
-    full = buckets.groupBy("band").agg(F.count("*").alias("n"), *order).where("n > 1")
-    led = stored(buckets.join(full, "band").select("band", "rep", F.array(*[f"lead{k}" for k in range(LEADERS)]).alias("leads")), "buckets")
-    pairs = stored(led.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct(), "pairs")
+    full = buckets.groupBy("band").agg(F.count("*").alias("n"), *order).where("n > 1").drop("n")
+    bucketed = stored(buckets.join(full, "band"), "buckets")
+    near, bits = near_enough(least), nodes.select("rep", "bits")
+    led = bucketed.select("rep", F.explode(F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)]))).alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+    estimated = led.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
+    pairs = stored(estimated.where(agreement(F.col("bits_a"), F.col("bits_b")) >= near).select("a", "b"), "pairs")
     links = verified(pairs, docs, least).select("a", "b")
     found = stored(links, "verified")
     first = components(found)
     # What is left: nodes of different components in one bucket that were not yet compared.
-    rooted = stored(led.select("band", "rep").join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    rooted = bucketed.select("band", "rep").join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = rooted.join(mixed, "band", "left_semi")
-    cross = rest.join(rest.select("band", F.col("rep").alias("other"), F.col("root").alias("other_root")), "band").where("root < other_root")
-    open_pairs = cross.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = stored(rooted.join(mixed, "band", "left_semi").join(nodes.select("rep", "bands", "bits"), "rep"), "rest")
+    other = rest.select(*(F.col(c).alias(f"other_{c}") for c in ("band", "rep", "root", "bands", "bits")))
+    shared = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True)  # a pair counts in the first band it shares
+    cross = rest.join(other, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & (agreement(F.col("bits"), F.col("other_bits")) >= near) & (F.array_position("bands", F.col("band")) == shared))
+    open_pairs = cross.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = verified(stored(open_pairs, "open"), docs, least).select("a", "b")
     joined = components(found.unionByName(late).unionByName(same))
     return marked.select("doc_id").distinct().join(joined.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
