@@ -86,8 +86,10 @@ class Logistic:
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple:
-    """(view 1, view 2, the two calibrations, the combination). A third of the labelled rows is kept for calibration."""
-    held = np.arange(len(y)) % 3 == 2
+    """(view 1, view 2, the two calibrations, the combination). A third of the rows of each label is kept for calibration."""
+    held, rng = np.zeros(len(y), bool), np.random.default_rng(11)
+    for label in (0, 1):
+        held[rng.permutation(np.flatnonzero(y == label))[::3]] = True
     taught = [[(v[~held], y[~held])] for v in views]
     free = [np.ones(len(pool[0]), bool) for _ in views]
 

@@ -30,7 +30,9 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 KINDS = ("assign", "access", "hex", "random")
 #: Most rows that the models are trained on.
 SAMPLE = 4000
-LEAST_RUN, LEAST_RATIO, LEAST_MEAN = 16, 18.0, 0.7
+#: Weight, in pairs, of a character's own frequency in its transitions.
+BACKED = 5.0
+LEAST_RUN, LEAST_RATIO, LEAST_MEAN = 16, 40.0, 2.2
 
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -131,11 +133,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         yield out(to, label.astype(np.int32), pair.astype(np.int32), counts[label, pair])
 
     rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, schema).groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()  # 2 x 67^2 rows at most
-    counts = np.full((2, SIZE, SIZE), 0.5)
+    counts = np.zeros((2, SIZE, SIZE))
     counts[1] += transitions(random_strings()).reshape(SIZE, SIZE)
     for label, pair, n in rows.itertuples(index=False):
         counts[label, pair // SIZE, pair % SIZE] += n
-    log = np.log(counts / counts.sum(2, keepdims=True))
+    plain = counts.sum(1, keepdims=True) + 0.5  # of a character, whatever stands before it: what unseen pairs are taken from
+    backed = counts + BACKED * plain / plain.sum(2, keepdims=True)
+    log = np.log(backed / backed.sum(2, keepdims=True))
     return (log[1] - log[0]).astype(np.float64)
 
 
