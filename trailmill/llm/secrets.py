@@ -3,7 +3,7 @@
 One model is of random strings, the other of ordinary words and identifiers. Both are first-order
 chains over the characters of keys (letters, digits, + / _ = -), trained on labelled samples: values that
 the fixed patterns find, with random strings of common key alphabets, against the other runs of the same
-characters in a bounded sample of rows. A run of 16 or more such characters is a `random` span if its
+characters in a bounded sample of rows (less those that could be either). A run of 16 or more such characters is a `random` span if its
 log-likelihood ratio is high in sum and by character, it has a digit and a letter, and no fixed
 pattern covers part of it. The fixed patterns' own spans always stay.
 
@@ -26,6 +26,8 @@ from trailmill.llm.common import arrow, flat, id_and_text, out, pieces, raw, tab
 #: Fixed patterns; letters of `assign` in either case.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+#: Runs that may be either: no label for training.
+UNSURE = re.compile(rb"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 KINDS = ("assign", "access", "hex", "random")
 #: Most rows that the models are trained on.
@@ -128,7 +130,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 left = bytearray(text)
                 for a, _, e in spans:
                     left[a:e] = b" " * (e - a)
-                counts[0] += transitions([bytes(left)])
+                counts[0] += transitions([UNSURE.sub(b" ", bytes(left))])
         label, pair = np.nonzero(counts)
         yield out(to, label.astype(np.int32), pair.astype(np.int32), counts[label, pair])
 
