@@ -9,7 +9,6 @@ from trailmill.jobs.common import table
 from trailmill.operators import rewards, rollups, trajectory
 
 KEY, ORDER = "user_id", ["ts", "event_id"]
-NOTHING = F.lit("error")
 
 
 def _flags(spark, sf_dir):
