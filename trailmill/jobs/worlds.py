@@ -148,4 +148,16 @@ WITH a AS (SELECT l_partkey % 4 AS k, 'mug ' || (l_partkey % 5) AS mug FROM line
 s AS (SELECT CASE k WHEN 0 THEN 'take' WHEN 1 THEN 'put' WHEN 2 THEN 'take' ELSE 'none' END AS verb, CASE WHEN k <= 1 THEN mug WHEN k = 2 THEN 'mug' ELSE 'none' END AS object, CASE k WHEN 0 THEN 'desk 1' WHEN 1 THEN 'desk 2' ELSE 'none' END AS place,
   CASE WHEN k = 3 THEN 'none' WHEN k <= 1 AND mug IN ('mug 1', 'mug 3') THEN mug ELSE 'mug 3' END AS meant FROM a)
 SELECT verb, object, place, meant, count(*) AS n FROM s GROUP BY ALL""",
+    "world_app_rewards": """
+WITH n AS (SELECT o_custkey AS k, CAST(count(*) AS DOUBLE) AS calls, count(*) FILTER (o_orderstatus <> 'P') AS ok, count(*) FILTER (o_orderstatus = 'F') AS data, count(*) FILTER (o_orderpriority = '1-URGENT') AS rep,
+  bool_or(o_orderkey % 3 = 0) AS pw, bool_or(o_orderkey % 50 = 1) AS ph FROM orders GROUP BY o_custkey),
+a AS (SELECT *, k % 3 <> 0 AS done, greatest(0.1::DOUBLE, 1 - (k % 4) / 4.0::DOUBLE) AS valid, CASE WHEN k % 17 = 0 THEN 0.7::DOUBLE ELSE 1 END AS form, CASE WHEN ph THEN 0.2::DOUBLE ELSE 1 END AS fp, CASE WHEN k % 11 = 0 THEN 0.3::DOUBLE ELSE 1 END AS fs,
+  CASE WHEN NOT pw THEN 0.1::DOUBLE ELSE 1 END AS fw FROM n),
+b AS (SELECT *, (0.6::DOUBLE * ok / calls + CASE WHEN data > 0 THEN 0.1::DOUBLE ELSE 0 END) * CASE WHEN calls > 2 AND rep / calls > 0.5 THEN 0.5::DOUBLE ELSE 1 END * fw + CASE WHEN k % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END AS r0 FROM a),
+c AS (SELECT *, r0 * fp * fs * valid * CASE WHEN done THEN 1 WHEN k % 5 = 0 THEN 0.3::DOUBLE WHEN k % 100 > 50 THEN 0.5::DOUBLE ELSE 1 END AS r1 FROM b),
+d AS (SELECT *, CASE WHEN done THEN r1 + CASE WHEN k % 7 < 4 AND ok > 0 THEN 0.3::DOUBLE WHEN ok > 0 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END ELSE r1 * CASE WHEN k % 7 < 4 AND calls >= 8 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END END AS r2,
+  CASE WHEN NOT done THEN CASE WHEN data > 0 THEN 0.15::DOUBLE WHEN calls > 0 THEN 0.03::DOUBLE ELSE 0 END WHEN k % 9 = 0 THEN 1
+    WHEN k % 2 = 1 THEN greatest((1 - least(abs(calls - 10) / 10, 1)) * 0.25::DOUBLE, CASE WHEN data > 0 THEN 0.15::DOUBLE ELSE 0 END) WHEN data > 0 THEN 0.15::DOUBLE ELSE 0.08::DOUBLE END AS q FROM c)
+SELECT k AS o_custkey, round(least(r2 * CASE WHEN k % 13 = 0 THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN done THEN form ELSE 1 END, 1), 6) AS action_reward,
+  round(q * valid * fw * fp * fs * CASE WHEN done THEN form ELSE 1 END, 6) AS question_reward FROM d""",
 }
