@@ -157,8 +157,8 @@ def test_secrets(spark, docs, none):
 
 
 def test_lines_against_sql(spark, docs, none):
-    passage = "one two three four five six seven eight nine ten\nand a tail\nthen eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
-    more = spark.createDataFrame([(30, f"first of all\n{passage}\nlast"), (31, f"{passage}"), (32, f"a tail\n{passage.upper()}\n{passage}")], "doc_id long, text string")
+    passage = "one two three four five six seven eight nine ten\nand a tail\nthen eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen?"
+    more = spark.createDataFrame([(30, f"first of all\n{passage}\nlast"), (31, f"{passage}"), (32, f"a tail\n{passage.upper()}\n{passage}"), (33, "Words before. " + passage.replace("\n", " ") + "! More here. Then eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen? so")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(more)
     c = duckdb.connect()
     c.register("documents", rows.toPandas().astype({"doc_id": "Int64"}).drop_duplicates())

@@ -1,12 +1,13 @@
 """Substring dedup by hashing lines.
 
-A text's units are its lines. A unit's key is its normalised form (trimmed, lower case, runs of white
-space as one space); a line of fewer than ``LEAST_WORDS`` words is too common by chance and is keyed together with the
-line before it, so it counts as repeated only where that neighbour is the same too. Keys are
+A text's units are its lines, cut again after a full stop, exclamation or question mark and a space, since passages are
+also pasted into the middle of lines. A unit's key is its normalised form (trimmed, lower case, runs of white
+space as one space); a unit of fewer than ``LEAST_WORDS`` words is too common by chance and is keyed together with the
+unit before it, so it counts as repeated only where that neighbour is the same too. Keys are
 hashed to 128 bits and grouped over the whole corpus; the occurrence with the least (doc_id, offset) stays, every
-other one is removed. Offsets are code points of the original text, end exclusive (without the newline).
+other one is removed. Offsets are code points of the original text, end exclusive (without the newline or space after).
 
-Null text: empty. Blank lines, and short lines whose pair is short, are never removed. A unit that repeats
+Null text: empty. Blank units, and short units whose pair is short, are never removed. A unit that repeats
 within a text is removed there too. Rows that share a doc_id are one document with several texts: equal
 rows are the same occurrence, so they change nothing. A null doc_id ranks after all others. Empty tables give no rows.
 """
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from trailmill.llm.common import arrow, id_and_text, out, pieces, table
 
 LEAST_WORDS = 8
+ENDS = (". ", "! ", "? ")
 UNITS = "doc_id long, start long, stop long, n_words int, hi long, lo long"
 
 
 def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop, n_words and the 128-bit key of each line that has one."""
+    """doc_id, start, stop, n_words and the 128-bit key of each unit that has one."""
 
     def run(batches):
         to = arrow(UNITS)
@@ -35,6 +37,8 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             ids, starts, stops, counts, keys = [], [], [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 at, before = 0, []
+                for mark in ENDS:
+                    text = text.replace(mark, f"{mark[0]}\n")  # of equal length: offsets stay
                 for line in text.split("\n"):
                     words = line.lower().split()
                     n = len(words)
@@ -59,9 +63,10 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     The group by key is partly done before the shuffle, so a line found everywhere sends a row for each task;
     the join back is a plain equi-join, whose hot keys Spark splits at run time.
     """
-    found = units(docs, least_words).distinct()
-    first = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")).alias("kept")).where("n > 1")
-    gone = found.join(first, ["hi", "lo"]).where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))))
+    found = units(docs, least_words)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    first = found.groupBy("hi", "lo").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other")  # equal rows are one place
+    gone = found.join(first, ["hi", "lo"]).where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")))).distinct()
     return gone.select("doc_id", "start", "stop", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
 
 
@@ -83,12 +88,13 @@ def op7_linedup(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+  SELECT DISTINCT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i, t
+  FROM (SELECT doc_id, replace(replace(replace(coalesce(text, ''), '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)) AS t FROM documents)),
 placed AS (
-  SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
+  SELECT doc_id, i, t, line, sum(length(line) + 1) OVER (PARTITION BY doc_id, t ORDER BY i) - length(line) - 1 AS start,
     list_filter(string_split_regex(lower(line), '\\s+'), lambda w: w <> '') AS words FROM lines),
 near AS (
-  SELECT *, len(words) AS n, lag(words) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM placed),
+  SELECT *, len(words) AS n, lag(words) OVER (PARTITION BY doc_id, t ORDER BY i) AS before FROM placed),
 keyed AS (
   SELECT doc_id, start, start + length(line) AS stop, n,
     CASE WHEN n >= 8 THEN list_aggregate(words, 'string_agg', ' ')
