@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,12 @@ def crc_mod(column: str, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="trailmill-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or unset_dir()
+
+
+@cache
+def unset_dir() -> str:
+    return tempfile.mkdtemp(prefix="trailmill-shared-", dir="/tmp")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
