@@ -156,7 +156,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     marked = stored(sketches(docs), "sketches")
     copies = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(copies, "nodes")
-    same = marked.select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = marked.select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select("doc_id", "rep")
     buckets = nodes.select("rep", F.explode("bands").alias("band"))
     order = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
     full = buckets.groupBy("band").agg(F.count("*").alias("n"), *order).where("n > 1").drop("n")
@@ -177,8 +177,13 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     cross = rest.join(other, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & (agreement(F.col("bits"), F.col("other_bits")) >= near) & (F.array_position("bands", F.col("band")) == shared))
     open_pairs = cross.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = verified(stored(open_pairs, "open"), docs, least).select("a", "b")
-    joined = components(found.unionByName(late).unionByName(same))
-    return marked.select("doc_id").distinct().join(joined.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    several = same.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)  # one document, several texts
+    more = stored(late.unionByName(several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))).distinct(), "late")
+    # Only roots that late links join take part in the second search.
+    between = more.join(first.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    second = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    rooted = same.join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("node"))
+    return rooted.join(second, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
