@@ -187,6 +187,15 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_slots_and_short_items(spark):
+    items = ["12 7 19 30 4 26 so 5 6 7 8", "Anna Boris Carla Dora Emil Fritz Gustav Hans Ida Jakob", "exactly five tokens are here", "Only six tokens stand in here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    said = [(43, "so: exactly five tokens are here"), (50, f"First some words come: {items[0]} and then others follow it"), (51, f"we all met {items[1]} at the lake"), (52, f"it says {items[3]} and goes on"), (53, items[0].replace("12", "13").replace("30", "31").replace("5 6", "9 1")), (54, "they met Xaver Yvonne Zeno Anton Berta Carl Doris Egon Felix Gerda at the lake")]
+    rows = spark.createDataFrame(said, "doc_id long, text string")
+    for shipped in (decontaminate.SHIPPED, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench, shipped=shipped).collect()} == {(43, 2), (50, 0), (51, 1), (52, 3)}
+
+
 # 3 near duplicates
 
 

@@ -2,8 +2,9 @@
 
 Tokens are split at white space, stripped of marks and lower-cased; numbers, units of measure and names
 (capitalised words inside a sentence) become typed placeholders. Windows of ``WINDOW`` template tokens of a
-text are hash-joined with those of the benchmark (an item that is shorter is one window). So a
-question with other numbers or names still meets its original. Then slots are checked: where a text takes
+text are hash-joined with those of the benchmark (an item that is shorter is one window, and every text has windows
+of that size too). So a question with other numbers or names still meets its original. A window with more slots
+than words says too little as a template and is joined by its very values. Then slots are checked: where a text takes
 an item's windows, each slot value of the item must stand for one value in the text; if it doesn't, only
 windows with the very same slot values count.
 
@@ -69,21 +70,24 @@ def templates(texts: list[bytes], words: WordTable):
     return value.view(np.int64), kind, np.where(kind > 0, SLOT[kind], value), starts
 
 
-def window_hashes(shape: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window; 0 for one that has more slots than words."""
+def window_hashes(value: np.ndarray, kind: np.ndarray, shape: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window's template; of one that has more slots than words, of its values and their kinds."""
     w = windows(shape, size)
     if len(w):
         slots = np.concatenate([[0], np.cumsum(kind > 0)])
-        w[slots[size:] - slots[:-size] > size // 2] = 0
+        heavy = np.flatnonzero(slots[size:] - slots[:-size] > size // 2)
+        both = (value.view(np.uint64) + shape)[heavy[:, None] + np.arange(size)]
+        w[heavy] = windows(both.ravel(), size)[::size] if len(heavy) else 0
     return w.view(np.int64)
 
 
 WINDOWS = "id long, h long, at int, size int, values array<long>"
 
 
-def text_windows(rows: DataFrame, short: bool, wanted=None) -> DataFrame:
-    """Windows of (id, text) rows: id, h, at, size, values (of slots; 0 elsewhere). ``wanted``: a shipped sorted
-    array of (hash) that others are left out by. ``short``: also give shorter texts as one window."""
+def text_windows(rows: DataFrame, sizes=None, wanted=None) -> DataFrame:
+    """Windows of (id, text) rows: id, h, at, size, values (of slots; 0 elsewhere). ``sizes``: those that every text is
+    cut by; None: the rows are items, each cut by its own size, and a capitalised first word also gives its first window with a
+    name there, as in the middle of a sentence. ``wanted``: a shipped sorted array of (hash) that others are left out by."""
 
     def run(batches):
         to, words = arrow(WINDOWS), WordTable(describe)
@@ -92,23 +96,31 @@ def text_windows(rows: DataFrame, short: bool, wanted=None) -> DataFrame:
             mask = np.zeros(1 << 22, bool)
             mask[keep & (len(mask) - 1)] = True
         for b in pieces(batches):
-            value, kind, shape, starts = templates(raw(b), words)
-            n = np.diff(starts)
-            found = [(WINDOW, 0, window_hashes(shape, kind, WINDOW))]
-            for i in np.flatnonzero((n >= SHORTEST) & (n < WINDOW)).tolist() if short else ():
-                a, z = starts[i], starts[i + 1]
-                found.append((int(n[i]), a, window_hashes(shape[a:z], kind[a:z], int(n[i]))))
-            for size, first, w in found:
-                at = np.flatnonzero(w if keep is None else mask[w & (len(mask) - 1)])
-                at = at[np.isin(w[at], keep) & (w[at] != 0)] if keep is not None else at
-                text = np.searchsorted(starts, at + first, "right") - 1
-                inside = at + first + size <= starts[text + 1]  # a window lies within one text
-                at, text = at[inside], text[inside]
-                if len(at):
-                    where = (at + first)[:, None] + np.arange(size)
-                    values = np.where(kind[where] > 0, value[where], 0).ravel()
-                    ends = np.arange(len(at) + 1, dtype=np.int32) * size
-                    yield out(to, b.column("id").take(pa.array(text)), w[at], (at + first - starts[text]).astype(np.int32), np.full(len(at), size, np.int32), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+            texts = raw(b)
+            value, kind, shape, starts = templates(texts, words)
+            own = np.minimum(np.diff(starts), WINDOW)
+            views = [(kind, shape, None)]
+            if sizes is None:
+                first = starts[:-1][own > 0]
+                named = first[(kind[first] == 0) & words.look([t.split(None, 1)[0] for t, n in zip(texts, own, strict=True) if n])[2]]
+                kind_2, shape_2 = kind.copy(), shape.copy()
+                kind_2[named], shape_2[named] = NAME, SLOT[NAME]
+                views.append((kind_2, shape_2, named))
+            for kind, shape, only in views:
+                for size in range(SHORTEST, WINDOW + 1) if sizes is None else sizes:
+                    w = window_hashes(value, kind, shape, size)
+                    at = np.arange(len(w)) if keep is None else np.flatnonzero(mask[w & (len(mask) - 1)])
+                    at = at if keep is None else at[np.isin(w[at], keep)]
+                    at = at if only is None else np.intersect1d(at, only)
+                    text = np.searchsorted(starts, at, "right") - 1
+                    inside = at + size <= starts[text + 1]  # a window lies within one text
+                    inside &= own[text] == size if sizes is None else True
+                    at, text = at[inside], text[inside]
+                    if len(at):
+                        where = at[:, None] + np.arange(size)
+                        values = np.where(kind[where] > 0, value[where], 0).ravel()
+                        ends = np.arange(len(at) + 1, dtype=np.int32) * size
+                        yield out(to, b.column("id").take(pa.array(text)), w[at], (at - starts[text]).astype(np.int32), np.full(len(at), size, np.int32), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
 
     return rows.mapInArrow(run, WINDOWS)
 
@@ -118,14 +130,15 @@ def leaks(docs: DataFrame, bench: DataFrame, shipped: int = SHIPPED, least_cover
     spark = docs.sparkSession
     items = bench.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.col("item_id").alias("id"), "text")
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id IS NOT NULL")
-    wanted = text_windows(items, short=True).where("h <> 0")
+    wanted = text_windows(items)
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # at most four
     size = wanted.select("h").distinct().count()
     if size <= shipped:
         keep = np.sort(np.array(wanted.select("h").distinct().toPandas()["h"], np.int64))  # at most ``shipped`` rows
-        found = text_windows(rows, short=True, wanted=spark.sparkContext.broadcast(keep))
+        found = text_windows(rows, sizes, wanted=spark.sparkContext.broadcast(keep))
     else:
-        found = text_windows(rows, short=True)
-    total = wanted.groupBy("id").agg(F.count("*").alias("total"))
+        found = text_windows(rows, sizes)
+    total = wanted.groupBy("id").agg(F.count_distinct("at").alias("total"))
     hit = found.join(wanted.select("h", "size", F.col("id").alias("item_id"), F.col("at").alias("place"), F.col("values").alias("own")), ["h", "size"])
     same = stored(hit.withColumnRenamed("id", "doc_id").withColumn("same", F.col("values") == F.col("own")), "hits")
     cover = same.groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
