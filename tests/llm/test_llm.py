@@ -196,6 +196,19 @@ def test_decontamination_finds_slots_and_short_items(spark):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench, shipped=shipped).collect()} == {(43, 2), (50, 0), (51, 1), (52, 3)}
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "the farm of Anna sells 12 apples each day so how many does Anna sell"
+    word = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    bench = spark.createDataFrame([(1, item), (2, " ".join(word))], "item_id long, text string")
+    one, other = item.replace("Anna", "Boris").replace("12", "77"), item.replace("Anna", "Carla").replace("12", "5")
+    shifted = other.replace("so how", "so tell me how")
+    sums = "how many apples are on the old farm with 12 7 19 30 4 26 15 16 17 18 21 22 23 24 25 27 28 29"
+    bench = bench.unionByName(spark.createDataFrame([(3, sums)], bench.schema))
+    said = [(65, " ".join(str(int(x) + 40) if x.isdigit() else x for x in sums.split())), (60, f"some words {one} and then some more words {other} at the end"), (61, f"some words {one} and then some more words {shifted} at the end"), (62, f"here are {' '.join(word[20:42])} and more"), (63, f"here are {' '.join(word[20:33])} and more"), (64, f"here are {' '.join(word[20:32])} and more")]
+    rows = spark.createDataFrame(said, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench).collect()} == {(60, 1), (61, 1), (62, 2), (63, 2), (65, 3)}
+
+
 # 3 near duplicates
 
 

@@ -5,11 +5,14 @@ Tokens are split at white space, stripped of marks and lower-cased; numbers, uni
 text are hash-joined with those of the benchmark (an item that is shorter is one window, and every text has windows
 of that size too). So a question with other numbers or names still meets its original. A window with more slots
 than words says too little as a template and is joined by its very values. Then slots are checked: where a text takes
-an item's windows, each slot value of the item must stand for one value in the text; if it doesn't, only
-windows with the very same slot values count.
-
-A text leaks an item from ``LEAST_COVER`` of the item's windows on. Result: a row for each such
-(doc_id, item_id). Null text or item: empty; items of fewer than ``SHORTEST`` tokens have no windows.
+an item's windows, each slot value of the item must stand for one value; if it doesn't, only windows with the very
+same slot values count. This is judged over the whole text, and over each occurrence: the windows at one distance from
+their places in the item, or at distances that follow each other by at most ``SHIFT`` tokens (words put in or left out).
+
+A text leaks an item if any of these holds ``LEAST_COVER`` of all the item's windows or of those that aren't joined by
+values (which other values leave no trace of), or if it has ``LITERAL_RUN`` tokens of the
+item in a row with the same slot values, whatever share they are. Result: a row for each such (doc_id, item_id), with
+the figures of the whole text or of the occurrence that holds more. Null text or item: empty; items of fewer than ``SHORTEST`` tokens have no windows.
 Repeated doc_ids or item_ids are taken as one. Empty tables give no rows.
 """
 
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.llm.common import WordTable, arrow, mix, out, pieces, raw, stored, table, windows
 
 WINDOW, SHORTEST = 8, 5
 LEAST_COVER, LEAST_AGREEMENT = 0.3, 0.8
+LITERAL_RUN, SHIFT = 13, 4
 #: Most distinct benchmark windows that are shipped to every task (8 bytes each); beyond it windows are joined by shuffle.
 SHIPPED = 1_000_000
 #: Units of measure.
@@ -81,6 +86,8 @@ def window_hashes(value: np.ndarray, kind: np.ndarray, shape: np.ndarray, size:
     return w.view(np.int64)
 
 
+#: What a verdict is taken over: the whole text, an occurrence with words put in or left out, an exact one.
+WHOLE, NEAR, EXACT = 0, 1, 2
 WINDOWS = "id long, h long, at int, size int, values array<long>"
 
 
@@ -138,14 +145,28 @@ def leaks(docs: DataFrame, bench: DataFrame, shipped: int = SHIPPED, least_cover
         found = text_windows(rows, sizes, wanted=spark.sparkContext.broadcast(keep))
     else:
         found = text_windows(rows, sizes)
-    total = wanted.groupBy("id").agg(F.count_distinct("at").alias("total"))
+    light = F.size(F.filter("own", lambda v: v != 0)) <= F.floor(F.col("size") / 2)  # joined by template
+    total = wanted.withColumn("own", F.col("values")).groupBy("id").agg(F.count_distinct("at").alias("total"), F.count_distinct(F.when(light, F.col("at"))).alias("total_light"))
     hit = found.join(wanted.select("h", "size", F.col("id").alias("item_id"), F.col("at").alias("place"), F.col("values").alias("own")), ["h", "size"])
-    same = stored(hit.withColumnRenamed("id", "doc_id").withColumn("same", F.col("values") == F.col("own")), "hits")
-    cover = same.groupBy("doc_id", "item_id", "place").agg(F.max("same").alias("same")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
-    slots = same.select("doc_id", "item_id", F.explode(F.arrays_zip("own", "values")).alias("s")).where("s.own <> 0").select("doc_id", "item_id", "s.own", "s.values").distinct()
-    agree = slots.groupBy("doc_id", "item_id").agg((F.count_distinct("own") / F.count("*")).alias("agreement"))
-    judged = cover.join(agree, ["doc_id", "item_id"], "left").join(total.withColumnRenamed("id", "item_id"), "item_id").select("doc_id", "item_id", (F.col("n") / F.col("total")).alias("cover"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), (F.col("n_same") / F.col("total")).alias("literal"))
-    return judged.where(F.when(F.col("agreement") >= LEAST_AGREEMENT, F.col("cover")).otherwise(F.col("literal")) >= least_cover)
+    pair = ["doc_id", "item_id"]
+    same = stored(hit.select(F.col("id").alias("doc_id"), "item_id", "place", (F.col("at") - F.col("place")).alias("far"), (F.col("values") == F.col("own")).alias("same"), light.alias("light"), "own", "values"), "hits")
+    by_far = W.partitionBy(*pair).orderBy("far")
+    apart = same.withColumn("new", (F.col("far") - F.lag("far").over(by_far) > SHIFT).cast("int")).withColumn("run", F.coalesce(F.sum("new").over(by_far), F.lit(0)))
+    scopes = [(WHOLE, F.lit(0)), (NEAR, F.col("run")), (EXACT, F.col("far"))]
+    each = apart.withColumn("in", F.explode(F.array(*(F.struct(F.lit(k).alias("scope"), c.cast("long").alias("part")) for k, c in scopes)))).select(*pair, "in.*", "place", "same", "light", "own", "values")
+    key = [*pair, "scope", "part"]
+    places = each.groupBy(*key, "place").agg(F.max("same").alias("same"), F.max("light").alias("light"))
+    cover = places.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.count_if("light").alias("n_light"), F.count_if(F.col("same") & F.col("light")).alias("n_same_light"))
+    slots = each.select(*key, F.explode(F.arrays_zip("own", "values")).alias("s")).where("s.own <> 0").select(*key, "s.own", "s.values").distinct()
+    agree = slots.groupBy(*key).agg((F.count_distinct("own") / F.count("*")).alias("agreement"))
+    share = lambda n: F.greatest(F.col(n) / F.col("total"), F.try_divide(F.col(f"{n}_light"), F.col("total_light"))).alias({"n": "cover", "n_same": "literal"}[n])
+    shares = [share("n"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), share("n_same")]
+    judged = cover.join(agree, key, "left").join(total.withColumnRenamed("id", "item_id"), "item_id").select(*key, *shares)
+    held = F.when(F.col("agreement") >= LEAST_AGREEMENT, F.col("cover")).otherwise(F.col("literal")).alias("held")
+    best = judged.groupBy(*pair).agg(F.max(F.struct(held, (-F.col("scope")).alias("wide"), "cover", "agreement", "literal")).alias("b"))
+    in_row = places.where(f"same AND scope = {EXACT}").withColumn("row", F.col("place") - F.row_number().over(W.partitionBy(*key).orderBy("place")))
+    copied = in_row.groupBy(*key, "row").agg(F.count("*").alias("n")).where(F.col("n") > LITERAL_RUN - WINDOW).select(*pair, F.lit(True).alias("copied")).distinct()
+    return best.join(copied, pair, "left").where((F.col("b.held") >= least_cover) | F.col("copied")).select(*pair, "b.cover", "b.agreement", "b.literal")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
