@@ -7,11 +7,12 @@ all registers. Two texts agree in a register with their probability Jaccard simi
 is the plain Jaccard. Bands of registers give buckets; what meets in a bucket is verified on the
 whole texts, by the exact probability Jaccard of the same weights.
 
-Work by group size. Equal texts are one node. In a bucket each node is verified against ``LEADERS`` of it (linear in
-the bucket). Links make components; then only nodes of *different* components that share a bucket
-and weren't verified are compared, so a large group of near copies, once joined, sends no pairs. No partner
-and no bucket is capped. Before texts are fetched, 4 bits of each register estimate the similarity inside the
-join; pairs that are three standard errors below the threshold go no further.
+Work by group size. Equal texts are one node. In a bucket ``LEADERS`` nodes lead, and of all the leaders it meets each node is
+verified against one: of those surely similar by estimate the first in an order of all nodes, else the most similar. So a group
+sends one pair a node, whatever its size, and most of it becomes one component. Only nodes of *different* components that share a
+bucket are compared further: of two components the most similar pair first, the other pairs only if that one isn't a link. No partner and
+no bucket is capped. Estimates are made inside the joins from registers of their own (``MARKS``, of the nodes that share a bucket at all); pairs that are three
+standard errors below the threshold go no further. Texts are fetched once, by their digests.
 
 Result: each doc_id once, with class_id, the least doc_id of its class. Null or empty texts are equal texts. Rows that share a
 doc_id are one document, and so one class. Rows without doc_id are left out. Empty tables give no rows.
@@ -19,11 +20,9 @@ doc_id are one document, and so one class. Rows without doc_id are left out. Emp
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.llm.common import WordTable, arrow, id_and_text, mix, out, pieces, stored, table, windows, word_hashes
@@ -33,8 +32,11 @@ WORDS, SIMILAR = 5, 0.8
 #: 32 bands of 8 registers: of pairs at 0.8, 997 of 1000 share a band; links within a class make up for the rest.
 BANDS, ROWS = 32, 8
 LEADERS = 3
-#: Longs that hold 4 bits of each register, and the standard errors that an estimate may lie below the threshold.
-PACKED, ERRORS = BANDS * ROWS // 16, 3.0
+#: Registers, drawn apart from those of the bands, that estimate the similarity of what met: 4 bits of each, in longs;
+#: and the standard errors that an estimate may lie below the threshold.
+MARKS, PER_LONG, ERRORS = 512, 16, 3.0
+#: Estimated similarity from which a pair is surely a link for the choice of a leader (it is verified all the same).
+SURE = 0.84
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,105 +93,169 @@ def hashed(texts: list[str], words: WordTable) -> list[np.ndarray]:
     return np.split(h, np.cumsum([len(s) for s in split])[:-1]) if split else []
 
 
-def agreement(a, b):
+def agreement(a, b) -> Column:
     """Estimated similarity from the packed registers of two nodes: equal 4-bit groups, less those equal by chance."""
-    unequal = F.lit(0)
-    for i in range(PACKED):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return 1 - unequal / (BANDS * ROWS) * (16 / 15)
+    unequal = F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))))
+    return 1 - F.aggregate(unequal, F.lit(0), lambda n, x: n + x) / MARKS * (16 / 15)
 
 
 def near_enough(least: float) -> float:
     p = least + (1 - least) / 16
-    return least - ERRORS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 * 16 / 15
+    return least - ERRORS * (p * (1 - p) / MARKS) ** 0.5 * 16 / 15
+
+
+def digest_of(text) -> Column:
+    """128 bits that stand for a text, by Spark's own functions, so that texts can be found again by them."""
+    return F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, its band hashes and its packed registers (none for texts without words)."""
-    schema = "doc_id long, digest binary, bands array<long>, bits array<long>"
+    """doc_id, digest of the text, its band hashes (none for texts without words)."""
+    schema = "doc_id long, digest binary, bands array<long>"
 
     def run(batches):
         to, words = arrow(schema), WordTable(word_hashes)
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in pieces(batches):
-            texts = b.column("text").to_pylist()
-            bands, bits = [], []
-            for h in hashed(texts, words):
-                if not len(h):
-                    bands.append([])
-                    bits.append([])
-                    continue
-                own = mix(prob_min_hash(*shingles(h), BANDS * ROWS))
-                bits.append(np.bitwise_or.reduce((own & np.uint64(15)).reshape(PACKED, 16) << np.arange(0, 64, 4, dtype=np.uint64), 1).view(np.int64))
-                bands.append(mix(own.reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + salt).view(np.int64))
-            yield out(to, b.column("doc_id"), [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts], pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())))
-
-    return id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The (a, b) whose texts are similar enough, with the similarity."""
-    texts = id_and_text(docs)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
-    schema = "a long, b long, similarity double"
+            bands = []
+            for h in hashed(b.column("text").to_pylist(), words):
+                own = mix(prob_min_hash(*shingles(h), BANDS * ROWS)).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) if len(h) else None
+                bands.append([] if own is None else mix(own + salt).view(np.int64))
+            yield out(to, b.column("doc_id"), b.column("digest"), pa.array(bands, pa.list_(pa.int64())))
+
+    return id_and_text(docs).where("doc_id IS NOT NULL").withColumn("digest", digest_of(F.col("text"))).mapInArrow(run, schema)
+
+
+def candidates(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """digest, rep, text, bits (packed registers for estimates): of each of ``nodes`` (digest, rep), once."""
+    schema = "digest binary, rep long, text string, bits array<long>"
+    wanted = nodes.select(F.col("digest").alias("wanted"), F.col("rep").alias("doc_id"))
+    found = id_and_text(docs).join(wanted, "doc_id").withColumn("digest", digest_of(F.col("text"))).where("digest = wanted")
+
+    def run(batches):
+        to, words = arrow(schema), WordTable(word_hashes)
+        shift = np.arange(0, 64, 64 // PER_LONG, dtype=np.uint64)
+        for b in pieces(batches):
+            bits = []
+            for h in hashed(b.column("text").to_pylist(), words):
+                keys, weights = shingles(h)
+                held = mix(prob_min_hash(mix(keys ^ np.uint64(MARKS)), weights, MARKS)) & np.uint64(15)
+                bits.append(np.bitwise_or.reduce(held.reshape(-1, PER_LONG) << shift, 1).view(np.int64))
+            yield out(to, b.column("digest"), b.column("rep"), b.column("text"), pa.array(bits, pa.list_(pa.int64())))
+
+    return found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")).mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, digest_a, b, digest_b) whose ``texts`` (digest, text) are similar enough."""
+    own, other = (texts.select(F.col("digest").alias(f"digest_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
+    joined = pairs.join(other, "digest_b").join(own, "digest_a").select("a", "b", "text_a", "text_b")
+    schema = "a long, b long"
 
     def run(batches):
         to, words = arrow(schema), WordTable(word_hashes)
-        for b in pieces(batches, most=500_000):
+        for b in pieces(batches, "text_a", most=500_000):
             keys: dict[str, tuple] = {}
-            own, other = b.column("text").to_pylist(), b.column("text_b").to_pylist()
-            distinct = list(dict.fromkeys([*own, *other]))
+            one, two = b.column("text_a").to_pylist(), b.column("text_b").to_pylist()
+            distinct = list(dict.fromkeys([*one, *two]))
             for t, h in zip(distinct, hashed(distinct, words), strict=True):
                 keys[t] = shingles(h)
-            s = np.array([prob_jaccard(*keys[x], *keys[y]) for x, y in zip(own, other, strict=True)])
-            good = pa.array(s >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good), pa.array(s[s >= least])], schema=to)
+            good = pa.array([prob_jaccard(*keys[x], *keys[y]) >= least for x, y in zip(one, two, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], schema=to)
 
     return joined.mapInArrow(run, schema)
 
 
+def crowded(nodes: DataFrame) -> DataFrame:
+    """band, digest of each bucket that holds more than one node."""
+    buckets = nodes.select("digest", F.explode("bands").alias("band"))
+    return buckets.join(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi")
+
+
+def first_links(bucketed: DataFrame, near: float) -> DataFrame:
+    """For each node, the one leader of its buckets that it is verified against.
+
+    Of leaders that are surely similar by estimate, the one that comes first in an order of all nodes, so that large groups
+    gather at few leaders; else the most similar by estimate.
+    """
+    node = F.struct("rep", "digest", "bits")
+    leaders = bucketed.groupBy("band").agg(*(F.min_by(node, F.xxhash64("digest", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
+    met = bucketed.join(leaders, "band")
+    rank = lambda digest: F.xxhash64(digest, F.lit(0))
+    offers = []
+    for k in range(LEADERS):
+        lead, like = F.col(f"lead{k}"), F.col(f"like{k}")
+        met = met.withColumn(f"like{k}", agreement(F.col("bits"), lead["bits"]))
+        sure = (like >= SURE) & (rank(lead["digest"]) < rank(F.col("digest")))
+        offer = F.struct((~sure).alias("unsure"), F.when(sure, rank(lead["digest"]).cast("double")).otherwise(-like).alias("order"), lead["rep"].alias("rep"), lead["digest"].alias("digest"))
+        offers.append(F.when((like >= near) & (lead["digest"] != F.col("digest")), offer))
+    best = met.select("rep", "digest", F.least(*offers).alias("offer")).where("offer IS NOT NULL").groupBy("rep", "digest").agg(F.min("offer").alias("offer"))
+    return best.select(F.col("rep").alias("a"), F.col("digest").alias("digest_a"), F.col("offer.rep").alias("b"), F.col("offer.digest").alias("digest_b"))
+
+
+def rooted(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the node's root."""
+    rows = bucketed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return rows.join(mixed, "band", "left_semi")
+
+
+def across(rest: DataFrame, near: float) -> DataFrame:
+    """Pairs of nodes of different roots in one bucket that are similar by estimate; each once, in the first bucket it shares."""
+    other = rest.select(*(F.col(c).alias(f"other_{c}") for c in ("band", "rep", "digest", "root", "bands", "bits")))
+    shared = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True)
+    met = (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & (agreement(F.col("bits"), F.col("other_bits")) >= near) & (F.array_position("bands", F.col("band")) == shared)
+    return rest.join(other, met).select(
+        F.col("rep").alias("a"), F.col("digest").alias("digest_a"), F.col("other_rep").alias("b"), F.col("other_digest").alias("digest_b"),
+        F.col("root").alias("root_a"), F.col("other_root").alias("root_b"), agreement(F.col("bits"), F.col("other_bits")).alias("like"),
+    )
+
+
+def relabelled(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after more links (a, b) between roots; only roots that are linked take part in the search."""
+    more = components(links)
+    own = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return own.unionByName(more.join(own.select("node"), "node", "left_anti"))
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id."""
+    near, pair = near_enough(least), ["a", "digest_a", "b", "digest_b"]
     marked = stored(sketches(docs), "sketches")
-    copies = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    nodes = stored(copies, "nodes")
+    nodes = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     same = marked.select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    buckets = nodes.select("rep", F.explode("bands").alias("band"))
-    order = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
-    full = buckets.groupBy("band").agg(F.count("*").alias("n"), *order).where("n > 1").drop("n")
-    bucketed = stored(buckets.join(full, "band"), "buckets")
-    near, bits = near_enough(least), nodes.select("rep", "bits")
-    led = bucketed.select("rep", F.explode(F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)]))).alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-    estimated = led.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
-    pairs = stored(estimated.where(agreement(F.col("bits_a"), F.col("bits_b")) >= near).select("a", "b"), "pairs")
-    links = verified(pairs, docs, least).select("a", "b")
-    found = stored(links, "verified")
-    first = components(found)
-    # What is left: nodes of different components in one bucket that were not yet compared.
-    rooted = bucketed.select("band", "rep").join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = stored(rooted.join(mixed, "band", "left_semi").join(nodes.select("rep", "bands", "bits"), "rep"), "rest")
-    other = rest.select(*(F.col(c).alias(f"other_{c}") for c in ("band", "rep", "root", "bands", "bits")))
-    shared = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True)  # a pair counts in the first band it shares
-    cross = rest.join(other, (F.col("band") == F.col("other_band")) & (F.col("root") < F.col("other_root")) & (agreement(F.col("bits"), F.col("other_bits")) >= near) & (F.array_position("bands", F.col("band")) == shared))
-    open_pairs = cross.select(F.greatest("rep", "other_rep").alias("a"), F.least("rep", "other_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = verified(stored(open_pairs, "open"), docs, least).select("a", "b")
-    several = same.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)  # one document, several texts
-    more = stored(late.unionByName(several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))).distinct(), "late")
-    # Only roots that late links join take part in the second search.
-    between = more.join(first.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    second = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    rooted = same.join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("node"))
-    return rooted.join(second, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
+    several = same.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other")  # one document, several texts
+    alike = same.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    met = stored(crowded(nodes), "buckets")
+    texts = stored(candidates(docs, nodes.join(met.select("digest").distinct(), "digest", "left_semi")), "texts")
+    bucketed = stored(met.join(texts.select("digest", "rep", "bits"), "digest"), "buckets")
+    tried = stored(first_links(bucketed, near), "pairs")
+    links = stored(verified(tried, texts, least).unionByName(alike), "links")
+    roots = stored(components(links), "roots")
+    # What is left: nodes of different components in one bucket. Of two components first the most similar pair is verified;
+    # the others only if that doesn't join them.
+    rest = rooted(bucketed, roots).join(nodes.select("digest", "bands"), "digest")
+    met = stored(across(stored(rest, "rest"), near).join(tried, pair, "left_anti").join(tried.select(F.col("b").alias("a"), F.col("digest_b").alias("digest_a"), F.col("a").alias("b"), F.col("digest_a").alias("digest_b")), pair, "left_anti"), "met")
+    best = met.groupBy("root_a", "root_b").agg(F.max_by(F.struct(*pair), F.struct("like", "digest_a", "digest_b")).alias("p")).select("p.*", "root_a", "root_b")
+    first = stored(verified(best.select(*pair), texts, least), "links")
+    to = lambda rows: rows.join(met.select("a", "b", "root_a", "root_b").distinct(), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    roots = stored(relabelled(roots, to(first)), "roots")
+    now = roots.select(F.col("node").alias("root_a"), F.col("root").alias("now_a"))
+    left = met.join(now, "root_a", "left").join(now.toDF("root_b", "now_b"), "root_b", "left").where("coalesce(now_a, root_a) <> coalesce(now_b, root_b)")
+    late = stored(verified(left.select(*pair).distinct(), texts, least), "links")
+    roots = relabelled(roots, late.join(left.select("a", "b", F.coalesce("now_a", "root_a").alias("x"), F.coalesce("now_b", "root_b").alias("y")).distinct(), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return same.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The rows of one document of each class: the one whose doc_id is the class id. Rows without doc_id stay."""
+    """One row of each class: of the document whose doc_id is the class id, its first row by text and then by all columns.
+
+    Rows without doc_id stay as they are: nothing says which document they are of, so they are neither compared nor dropped.
+    """
     kept = classes(docs, least).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = F.min_by(every, F.struct(F.coalesce("text", F.lit("")), F.to_json(every)))
+    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
