@@ -8,7 +8,7 @@ payload keeps an ordered chunk list, by which the payload is put together again
     chunk store   digest, packed bytes         (one row for each distinct chunk)
     chunk lists   payload digest, ordered digests
 
-Null text: empty, one frame of 192 spaces. Equal texts give equal payloads, lists, and media. Repeated
+Putting together raises an error where a chunk is lost or differs; it never gives a shorter payload. Null text: empty, one frame of 192 spaces. Equal texts give equal payloads, lists, and media. Repeated
 rows and repeated doc_ids each give a row.
 """
 
@@ -129,26 +129,44 @@ def chunk_store(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, schema).groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
+#: Payload bytes after which results are handed on.
+AT_ONCE = 8_000_000
+
+
 def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """Each distinct payload put together from the store, verified against its list, and read back from its stored form."""
+    """Each distinct payload put together from the store, and read back from its stored form.
+
+    Raises ValueError where a chunk is missing, doesn't match its digest, or the ordered list doesn't match ``key``. Spark
+    hands payloads over in Arrow batches bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch); one is unpacked at a time.
+    """
     schema = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
     wanted = lists.groupBy("key").agg(F.first("digests").alias("digests")).select("key", F.posexplode("digests").alias("at", "digest"))
-    parts = wanted.join(store, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "digest", "packed")).alias("parts"))
+    parts = wanted.join(store, "digest", "left").groupBy("key").agg(F.collect_list(F.struct("at", "digest", "packed")).alias("parts"))
+
+    def one(key: bytes, parts: list[dict]) -> tuple:
+        listed = sorted(parts, key=lambda p: p["at"])
+        if any(p["packed"] is None for p in listed):
+            raise ValueError("a chunk of a payload is missing from the store")
+        got = [(p["digest"], bz2.decompress(p["packed"])) for p in listed]
+        if any(hashlib.blake2b(c, digest_size=16).digest() != d for d, c in got):
+            raise ValueError("a stored chunk does not match its digest")
+        if hashlib.blake2b(b"".join(d for d, _ in got), digest_size=16).digest() != key:
+            raise ValueError("a chunk list does not match its payload's key")
+        form = media(got)
+        data = unpack(form)
+        return key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature(data), len(got)
 
     def run(batches):
-        to = arrow(schema)
+        to, made, size = arrow(schema), [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                rows = []
-                listed = sorted(b.column("parts")[i].as_py(), key=lambda p: p["at"])
-                got = [(p["digest"], bz2.decompress(p["packed"])) for p in listed]
-                for d, c in got:
-                    if hashlib.blake2b(c, digest_size=16).digest() != d:
-                        raise ValueError("a stored chunk does not match its digest")
-                form = media(got)
-                data = unpack(form)
-                rows = [[b.column("key")[i].as_py()], [len(data)], [hashlib.sha256(data).hexdigest()], [zlib.crc32(data[-16:])], [len(form)], [hashlib.sha256(form).hexdigest()], [feature(data)], [len(got)]]
-                yield out(to, *rows)
+            for key, parts in zip(b.column("key"), b.column("parts"), strict=True):
+                made.append(one(key.as_py(), parts.as_py()))
+                size += made[-1][1]
+                if size > AT_ONCE:
+                    yield out(to, *zip(*made))
+                    made, size = [], 0
+        if made:
+            yield out(to, *zip(*made))
 
     return parts.mapInArrow(run, schema)
 
