@@ -11,7 +11,8 @@ from trailmill.sources import chat_jsonl
 
 
 def one(spark, column, **values):
-    row = spark.createDataFrame([tuple(values.values())], [*values]) if values else spark.range(1)
+    schema = [*values] if None not in values.values() else ", ".join(f"{k} string" for k in values)
+    row = spark.createDataFrame([tuple(values.values())], schema) if values else spark.range(1)
     return row.select(column.alias("x")).first()["x"]
 
 
@@ -154,13 +155,58 @@ def test_household_reward(spark):
 
 @pytest.mark.parametrize(
     ("said", "verb", "obj", "place"),
-    [("<think>a</think>\nAction: Take the mug 1 from the desk 2.", "take", "mug 1", "desk 2"), ("look\nmore", "look", None, None), ("Move mug 1", "put", "mug 1", None), ("cool egg 1 with fridge 1", "cool", "egg 1", "fridge 1"), ("dance", None, None, None)],
+    [("<think>a</think>\nAction: Take the mug 1 from the desk 2.", "take", "mug 1", "desk 2"), ("look\nmore", "look", None, None), ("Move mug 1", "put", "mug 1", None), ("cool egg 1 with fridge 1", "cool", "egg 1", "fridge 1"), ("dance", None, None, None),
+     ("<<wm>> <<x y>> Action: take mug 1 from desk 1.", "take", "mug 1", "desk 1"), ("look around", None, None, None), ("Look at the desk 1", "examine", "desk 1", None), ("put a cup 2 in/on an old shelf 1", "put", "cup 2", "old shelf 1"),
+     ("open", None, None, None), ("inventory", "inventory", None, None), ("take mug-1 from desk 1", None, None, None), ("", None, None, None)],
 )
 def test_actions(spark, said, verb, obj, place):
     got = one(spark, text.verb_slots(text.parse_action(F.col("t"))), t=said)
     assert (got["verb"], got["object"], got["place"]) == (verb, obj, place)
 
 
+LATER = [
+    "You arrive at desk 1. On the desk 1, you see a mug 1, and a pen 2. You turn on the lamp 1.", "You arrive at shelf 1. On the board, you see a mug, and a cup.", "You pick up the pen 2 from the desk 1.", "You pick up the mug 1 from the desk 1.",
+    "You put the pen 2 in/on the desk 1.", "You arrive at box 1. The box 1 is closed.", "You arrive at rack 1. On the stand, you see nothing.", "You close the desk 1. You close the sofa 1.", "You clean the mug 1 using the sink 1. You heat the mug 1 using the oven 1.", None,
+]
+
+
+def test_replay_adds_takes_and_empties(spark):
+    """By hand: a loose arrival's mug is mug 1, its cup is none that was seen; nothing is no thing; only open things close."""
+    rows = spark.createDataFrame([("e", i, "user", s) for i, s in enumerate(LATER)], "k string, turn int, role string, content string")
+    for same in (rows, rows.repartition(5, "content")):
+        state = replay.final_state(replay.events(same, "k", "turn", "content"), "k", "turn").first()
+        assert (state["current_loc"], state["inventory"]) == ("rack 1", ["mug 1"])
+        assert state["contents"] == {"desk 1": ["pen 2"], "shelf 1": ["mug 1", "cup"], "rack 1": []}
+        assert (state["opened"], state["closed"]) == (["rack 1", "shelf 1"], ["box 1", "desk 1"])
+        assert (state["flags"], state["seen"]) == ({"lamp 1": ["on"], "mug 1": ["clean", "hot"]}, ["cup", "mug 1", "pen 2"])
+    assert replay.final_state(replay.events(rows.limit(0), "k", "turn", "content"), "k", "turn").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("said", "action"),
+    [("<think>x</think>```py\nopen```Action: open door\nmore", "open door"), ("[INST] 'pick up pot'", "pick up pot"), ("12.5", ""), ("I need to go", ""), ("task is on", "task is on"), ("x" * 201, ""), (None, ""), ("<b>wait</b>", "wait"), ("scores are in", "")],
+)
+def test_science_actions(spark, said, action):
+    assert one(spark, text.science_action(F.col("t")), t=said) == action
+
+
+@pytest.mark.parametrize(("said", "action"), [("1. `open door`\nand", "open door"), ("- Action: look around", "look around"), ("2) > wait", "wait"), (None, ""), ("  ", "")])
+def test_demo_actions(spark, said, action):
+    assert one(spark, text.demo_action(F.col("t")), t=said) == action
+
+
+NOTHING = "Nothing happens."
+
+
+@pytest.mark.parametrize(
+    ("said", "seen"),
+    [("<think>x</think><tool_response>You see.</tool_response>", "You see."), ("```You see.```", "You see."), ('["a b "]', "a b"), ('[{"content": "plain"}]', "plain"), ('[{"content": "[{\\"type\\": \\"text\\", \\"text\\": \\" hi \\"}]"}]', "hi"),
+     ('[{"content": "\\"in\\""}]', "in"), ("[not json", "[not json"), ("[]", "[]"), ('[{"other": 1}]', '[{"other": 1}]'), ('[""]', NOTHING), ("", NOTHING), (None, NOTHING)],
+)
+def test_observations(spark, said, seen):
+    assert one(spark, text.observation(F.col("t")), t=said) == seen
+
+
 def test_small_text_helpers(spark):
     assert one(spark, text.split_listed(F.lit("a mug 1, and a pen 2 and an egg 3"))) == ["mug 1", "pen 2", "egg 3"]
     assert one(spark, text.task_type(F.lit("boil_v2_v10"))) == "boil_v2"

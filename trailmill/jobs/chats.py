@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import strip_tags
+from trailmill.functions.text import demo_action, observation, science_action, strip_tags
 from trailmill.jobs.common import table
 from trailmill.operators import chat, trajectory
 from trailmill.sources import chat_jsonl
@@ -83,11 +83,39 @@ def text_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(F.md5(strip_tags(raw, p)).alias(f"{p}_md5") for p in ("block", "windowed", "ar")))
 
 
-QUERIES = {f.__name__: f for f in (chat_prompt_reference, chat_merge_system, chat_jsonl_counters, chat_string_decode, chat_user_turns, chat_preceding_assistant, chat_first_seen, chat_last_answer, chat_migrate, chat_residual_names, chat_response_classes, text_strip_tags)}
+def _wrapped(spark, sf_dir, cases: list):
+    """conv_id, turn, raw: each whole text in the wrapper of its turn."""
+    raw = F.get(F.array(*cases), F.col("turn").cast("int") % len(cases))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"))
+
+
+def clean_observations(spark, sf_dir):
+    """Whole texts as world models wrap their observations: tags, back-ticks, lists, contents that are lists of parts."""
+    said = F.coalesce("text", F.lit(""))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))))
+    cases = [F.concat(F.lit("<think>[hm]</think><tool_response> "), said, F.lit("</tool_response>")), F.concat(F.lit("```\n"), said, F.lit("```")), F.to_json(F.array(F.struct(said.alias("content")))), F.to_json(F.array(F.struct(parts.alias("content"))))]
+    return _wrapped(spark, sf_dir, cases).select("conv_id", "turn", F.md5(observation(F.col("raw"))).alias("seen_md5"))
+
+
+def clean_science_actions(spark, sf_dir):
+    """The action in each whole text, wrapped as models of the science harness reply; narrations and long lines give ''."""
+    cases = [F.concat(F.lit(head), F.coalesce("text", F.lit(""))) for head in ("<think>hm</think>[INST] Action: ", '```x```"', "<b>", "I need to ")]
+    return _wrapped(spark, sf_dir, cases).select("conv_id", "turn", science_action(F.col("raw")).alias("action"))
+
+
+def clean_demo_actions(spark, sf_dir):
+    """The action in each whole text, wrapped as demonstration writers reply."""
+    cases = [F.concat(F.lit(head), F.coalesce("text", F.lit(""))) for head in ("1. `", "- Action: ", "")]
+    return _wrapped(spark, sf_dir, cases).select("conv_id", "turn", demo_action(F.col("raw")).alias("action"))
+
+
+QUERIES = {f.__name__: f for f in (chat_prompt_reference, chat_merge_system, chat_jsonl_counters, chat_string_decode, chat_user_turns, chat_preceding_assistant, chat_first_seen, chat_last_answer, chat_migrate, chat_residual_names, chat_response_classes, text_strip_tags, clean_observations, clean_science_actions, clean_demo_actions)}
 
 MOVED = "CASE WHEN role <> 'user' THEN replace(replace(replace(text, 'the ', 'THE_'), 'der ', 'DER_'), 'que ', 'QUE_') ELSE text END"
 WRAPPED = "CASE doc_id % 3 WHEN 0 THEN '<think>plan</think> ' || text WHEN 1 THEN 'pre<tool_response>' || chr(10) || ' ' || text || ' ' || chr(10) || '</tool_response>post' ELSE '</think> ' || text END"
+BARE = r"regexp_replace(x, '^(Action|Command|>)\s*:?\s*', '', 'i')"
 TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+LINE = TRIM.format(f"split_part({TRIM.format("coalesce(text, '')")}, chr(10), 1)")
 
 ORACLE_SQL = {
     "chat_prompt_reference": """
@@ -123,6 +151,12 @@ WITH t AS (SELECT CASE WHEN turn % 5 = 3 THEN '{"error": "x"}' WHEN turn % 5 = 4
 k AS (SELECT CASE WHEN trim(x) = '' THEN 'empty' WHEN contains(lower(x), '"error"') OR contains(lower(x), 'execution failed') OR contains(lower(x), 'traceback') THEN 'error'
   WHEN length(x) > 50 OR contains(lower(x), '"id"') OR contains(lower(x), '"title"') THEN 'data' ELSE 'success' END AS response FROM t)
 SELECT response, count(*) AS n FROM k GROUP BY response""",
+    "clean_observations": f"WITH t AS (SELECT conv_id, turn, {TRIM.format("coalesce(text, '')")} AS x FROM conversations) SELECT conv_id, turn, md5(CASE WHEN x = '' THEN 'Nothing happens.' ELSE x END) AS seen_md5 FROM t",
+    "clean_science_actions": f"""
+WITH t AS (SELECT conv_id, turn, {LINE} AS x FROM conversations), a AS (SELECT *, CASE turn % 4 WHEN 0 THEN x WHEN 3 THEN '' ELSE {BARE} END AS y FROM t)
+SELECT conv_id, turn, CASE WHEN length(y) > 200 OR regexp_matches(y, '^-?\\d+\\.?\\d*$') THEN ''
+  WHEN regexp_matches(y, '^(success|fail|error|done|complete|score|i need|i should|i will|i''ll|let me|the task|this task|now i|step \\d|observation|reward|result|note:)', 'i') THEN '' ELSE y END AS action FROM a""",
+    "clean_demo_actions": f"WITH t AS (SELECT conv_id, turn, {LINE} AS x FROM conversations) SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN x ELSE {BARE} END AS action FROM t",
     "text_strip_tags": f"""
 WITH w AS (SELECT doc_id, {WRAPPED} AS x, text FROM documents)
 SELECT doc_id, md5({TRIM.format("text")}) AS block_md5,

@@ -6,6 +6,7 @@ without reading any text.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ def _messages(spark, sf_dir):
     mug, desk = F.concat(F.lit("mug "), _s(F.col("l_partkey") % 3 + 1)), F.concat(F.lit("desk "), _s(F.col("l_suppkey") % 2 + 1))
     kind = F.col("l_partkey") % 8
     said = (
-        F.when(kind <= 1, F.concat(F.lit("You pick up the "), mug, F.lit(" from the shelf 1.")))
+        F.when(kind == 0, F.concat(F.lit("You pick up the "), mug, F.lit(" from the shelf 1.")))
+        .when(kind == 1, F.concat(F.lit("You pick up the "), mug, F.lit(" from the "), desk, F.lit(".")))
         .when(kind == 2, F.concat(F.lit("You move the "), mug, F.lit(" to the "), desk, F.lit(".")))
         .when(kind == 3, F.concat(F.lit("You put the "), mug, F.lit(" in/on the "), desk, F.lit(".")))
         .when(kind == 4, F.concat(F.lit("You clean the "), mug, F.lit(" using the sinkbasin 1. You cool the "), mug, F.lit(" using the fridge 1.")))
@@ -54,16 +56,14 @@ def world_goals(spark, sf_dir):
 
 
 def world_states(spark, sf_dir):
-    """The state after each episode: where, what is held, flags; a fold over the events."""
+    """The state after each episode: where, what is held, open and closed things, contents, flags, and what was seen."""
     got = replay.final_state(replay.events(_messages(spark, sf_dir), "l_orderkey", "turn", "content"), "l_orderkey", "turn")
-    dirty = F.transform(F.array_sort(F.map_keys("flags")), lambda k: F.concat(k, F.lit("="), F.array_join(F.col("flags")[k], "+")))
-    return got.select("l_orderkey", F.coalesce("current_loc", F.lit("")).alias("current_loc"), F.array_join(F.array_sort("inventory"), ",").alias("held"), F.array_join(dirty, ",").alias("flags"))
 
+    def told(sets: str, between: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.map_keys(sets)), lambda k: F.concat(k, F.lit("="), F.array_join(F.col(sets)[k], "+"))), between)
 
-def world_commands(spark, sf_dir):
-    """How many commands each final state allows."""
-    got = replay.final_state(replay.events(_messages(spark, sf_dir), "l_orderkey", "turn", "content"), "l_orderkey", "turn")
-    return got.select("l_orderkey", F.size(replay.admissible(got)).cast("long").alias("n_commands"), F.md5(F.array_join(replay.admissible(got), "\n")).alias("commands_md5"))
+    lists = [F.array_join(F.array_sort(c) if c == "inventory" else F.col(c), ",").alias(name) for c, name in (("inventory", "held"), ("opened", "opened"), ("closed", "closed"), ("seen", "seen"))]
+    return got.select("l_orderkey", F.coalesce("current_loc", F.lit("")).alias("current_loc"), *lists, told("flags", ",").alias("flags"), told("contents", ";").alias("contents"))
 
 
 def world_rewards(spark, sf_dir):
@@ -80,7 +80,8 @@ def world_actions(spark, sf_dir):
     """Actions as a model might write them, parsed to verb, object and place, with the instance meant."""
     name = F.concat(F.lit("mug "), _s(F.col("l_partkey") % 5))
     said = (
-        F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("<think>hm</think>\nAction: Take the "), name, F.lit(" from a desk 1.")))
+        F.when(F.col("l_partkey") % 8 == 4, F.concat(F.lit("<<wm>> <<b>> Action: take the "), name, F.lit(" from the desk 1.")))
+        .when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("<think>hm</think>\nAction: Take the "), name, F.lit(" from a desk 1.")))
         .when(F.col("l_partkey") % 4 == 1, F.concat(F.lit("Put "), name, F.lit(" in/on desk 2\nmore")))
         .when(F.col("l_partkey") % 4 == 2, F.lit("take mug"))
         .otherwise(F.lit("dance wildly now!"))
@@ -105,7 +106,7 @@ def world_app_rewards(spark, sf_dir):
     return n.select("o_custkey", F.round(rewards.app_action(c), 6).alias("action_reward"), F.round(question, 6).alias("question_reward"))
 
 
-QUERIES = {f.__name__: f for f in (world_events, world_goals, world_states, world_commands, world_rewards, world_actions, world_app_rewards)}
+QUERIES = {f.__name__: f for f in (world_events, world_goals, world_states, world_rewards, world_actions, world_app_rewards)}
 
 STEPS = """
 l AS (SELECT l_orderkey, l_partkey % 8 AS kind, 'mug ' || (l_partkey % 3 + 1) AS mug, 'desk ' || (l_suppkey % 2 + 1) AS desk, l_suppkey % 10 <> 9 AS heard,
@@ -131,8 +132,15 @@ SELECT kind, count(*) AS n, count(DISTINCT l_orderkey) AS n_episodes FROM e GROU
     "world_states": f"""WITH {STEPS},
 m AS (SELECT l_orderkey, mug, arg_max(kind, turn) FILTER (kind <= 3) AS last, bool_or(kind = 4) AS k4, bool_or(kind = 5) AS k5 FROM h GROUP BY l_orderkey, mug),
 f AS (SELECT l_orderkey, string_agg(mug, ',' ORDER BY mug) FILTER (last <= 1) AS held, string_agg(mug || '=' || concat_ws('+', CASE WHEN k4 THEN 'clean+cool' END, CASE WHEN k5 THEN 'hot' END), ',' ORDER BY mug) FILTER (k4 OR k5) AS flags FROM m GROUP BY l_orderkey),
-w AS (SELECT l_orderkey, arg_max(desk, turn) FILTER (kind = 7) AS loc, bool_or(kind = 6) AS lamp FROM h GROUP BY l_orderkey)
-SELECT f.l_orderkey, coalesce(loc, '') AS current_loc, coalesce(held, '') AS held, concat_ws(',', CASE WHEN lamp THEN 'desklamp 1=on' END, flags) AS flags FROM f JOIN w ON f.l_orderkey = w.l_orderkey""",
+w AS (SELECT l_orderkey, arg_max(desk, turn) FILTER (kind = 7) AS loc, bool_or(kind = 6) AS lamp, string_agg(DISTINCT desk, ',' ORDER BY desk) FILTER (kind = 7) AS opened FROM h GROUP BY l_orderkey),
+y AS (SELECT l_orderkey, string_agg(DISTINCT thing, ',' ORDER BY thing) AS seen FROM (SELECT l_orderkey, mug AS thing FROM h WHERE kind IN (0, 1, 2, 3, 7) UNION ALL SELECT l_orderkey, 'pen 1' FROM h WHERE kind = 7) GROUP BY l_orderkey),
+adds AS (SELECT l_orderkey, desk, mug AS thing, turn * 2 + 1 AS at FROM h WHERE kind IN (2, 3, 7) UNION ALL SELECT l_orderkey, desk, 'pen 1', turn * 2 FROM h WHERE kind = 7),
+gone AS (SELECT l_orderkey, desk, mug AS thing, max(turn * 2 + 1) AS until FROM h WHERE kind = 1 GROUP BY ALL),
+inside AS (SELECT a.l_orderkey, a.desk, a.thing, min(a.at) FILTER (g.until IS NULL OR a.at > g.until) AS since FROM adds a LEFT JOIN gone g ON g.l_orderkey = a.l_orderkey AND g.desk = a.desk AND g.thing = a.thing GROUP BY ALL),
+place AS (SELECT l_orderkey, desk, coalesce(string_agg(thing, '+' ORDER BY since) FILTER (since IS NOT NULL), '') AS things FROM inside GROUP BY ALL),
+con AS (SELECT l_orderkey, string_agg(desk || '=' || things, ';' ORDER BY desk) AS contents FROM place GROUP BY l_orderkey)
+SELECT f.l_orderkey, coalesce(loc, '') AS current_loc, coalesce(held, '') AS held, coalesce(opened, '') AS opened, '' AS closed, coalesce(seen, '') AS seen, concat_ws(',', CASE WHEN lamp THEN 'desklamp 1=on' END, flags) AS flags, coalesce(contents, '') AS contents
+FROM f JOIN w ON f.l_orderkey = w.l_orderkey LEFT JOIN y ON y.l_orderkey = f.l_orderkey LEFT JOIN con ON con.l_orderkey = f.l_orderkey""",
     "world_rewards": f"""WITH {GOALS},
 a AS (SELECT l_orderkey, turn, kind = 7 AS nothing, CASE WHEN kind <= 1 THEN 'p' WHEN kind = 2 THEN 'm' WHEN kind = 3 THEN 'u' WHEN kind = 4 THEN 'c' WHEN kind = 5 THEN 'h' WHEN kind = 6 THEN 't' ELSE 'a' || desk END AS act FROM l),
 i AS (SELECT *, turn - row_number() OVER (PARTITION BY l_orderkey, act ORDER BY turn) AS g, turn - row_number() OVER (PARTITION BY l_orderkey, nothing ORDER BY turn) AS ng FROM a),

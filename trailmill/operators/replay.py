@@ -1,15 +1,14 @@
 """Event-sourced world state from observation texts, and goal predicates over it.
 
 Texts become one row for each event (turn, rank of the pattern, place in the text), by regular
-expressions in SQL; the state is then folded over the events of a trajectory, in that order. Goals need no fold: they are
-joins of event sets.
+expressions in SQL. Each event adds names to sets, takes them out, or empties a set; a state is then what was added after it
+was last taken out, which windows and groupings tell without going through the events one by one. Goals are joins of event sets.
+
+Null texts tell nothing; a trajectory without events has no state. Equal rows are one event each, as if told twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,66 +47,83 @@ def _told(rank: int, kind: str, things: Column, others: Column | None) -> Column
 def events(messages: DataFrame, key: str, turn: str, content: str, role: str | None = "role", roles: tuple[str, ...] = ("user", "tool")) -> DataFrame:
     """key, turn, rank, pos, kind, thing, other: a row for each event in each message of the roles named (None: of all)."""
     rows = messages.where(F.col(role).isin(*roles)) if role and roles else messages
-    found = []
+    found, text = [], F.col(content)
     for rank, (kind, pattern, groups) in enumerate(PHRASES):
-        things, others = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(1)), F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(groups))
+        # A text without the pattern's first words is not searched.
+        told = F.contains(text, F.lit("You ")) if kind == "put" else F.contains(text, F.lit(pattern.removeprefix("(?s)").split(THING)[0]))
+        things, others = (F.when(told, F.regexp_extract_all(text, F.lit(pattern), F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, groups))
         found.append(_told(rank, kind, things, others if groups == 2 else None))
     return rows.select(key, turn, F.explode(F.concat(*found)).alias("e")).select(key, turn, "e.*")
 
 
-STATE = "current_loc string, inventory array<string>, opened array<string>, closed array<string>, contents map<string,array<string>>, flags map<string,array<string>>, seen array<string>"
-
-
-def fold(rows: Iterator[tuple]) -> dict:
-    """The state after (kind, thing, other, items) events in order."""
-    loc, inventory, opened, closed, contents, flags, seen = None, [], set(), set(), {}, {}, set()
-    for kind, thing, other, items in rows:
-        if kind.startswith("go"):
-            loc = thing
-        if kind == "go_closed":
-            closed.add(thing)
-            opened.discard(thing)
-        elif kind in ("go_open", "go_near", "open"):
-            opened.add(thing)
-            closed.discard(thing)
-            seen.update(items)
-            contents[thing] = list(dict.fromkeys([*contents.get(thing, []), *items]))
-        elif kind in ("go_nothing", "open_empty"):
-            contents[thing] = []
-            if kind == "open_empty":
-                opened.add(thing)
-                closed.discard(thing)
-        elif kind == "close" and thing in opened:
-            opened.discard(thing)
-            closed.add(thing)
-        elif kind == "take":
-            if thing not in inventory:
-                inventory.append(thing)
-            if thing in contents.get(other, []):
-                contents[other].remove(thing)
-            seen.add(thing)
-        elif kind == "put":
-            if thing in inventory:
-                inventory.remove(thing)
-            if thing not in contents.setdefault(other, []):
-                contents[other].append(thing)
-            seen.add(thing)
-        elif kind in FLAGS:
-            flags.setdefault(thing, set()).add(FLAGS[kind])
-    return {"current_loc": loc, "inventory": inventory, "opened": sorted(opened), "closed": sorted(closed), "contents": contents, "flags": {k: sorted(v) for k, v in flags.items()}, "seen": sorted(seen)}
+#: Kinds of event that tell what is in a place.
+LISTS = ("go_open", "go_near", "open")
 
 
-def final_state(found: DataFrame, key: str, turn: str) -> DataFrame:
-    """key and the state after all events: a row for each trajectory. The fold needs one trajectory's events together, not its texts."""
-    listed = found.withColumn("items", F.when(F.col("kind").isin("go_open", "go_near", "open"), split_listed(F.col("other"))))
+def changes(found: DataFrame, key: str, turn: str) -> DataFrame:
+    """key, at, what, place, name, how: what each event adds to a set, takes out of it (gone), or empties (clear).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([turn, "rank", "pos"])
-        own = fold((k, t, o, [] if i is None else list(i)) for k, t, o, i in zip(rows["kind"], rows["thing"], rows["other"], rows["items"], strict=True))
-        return pd.DataFrame([{key: pdf[key].iloc[0], **own}])
+    Sets: loc (places come to, the last one counts), door (open things), told (things known to be open or closed), held, seen, in (by place), flag
+    (by thing). An item that a loose arrival names without a number is the only numbered one of its class seen so far, if there is one.
+    """
+    kind, thing, other = F.col("kind"), F.col("thing"), F.col("other")
+    empty = kind.isin("go_nothing", "open_empty") | ((kind == "go_near") & (F.lower(F.trim(other)) == "nothing"))
+    items = F.when(kind.isin(*LISTS) & ~empty, split_listed(other))
+
+    def change(what: str, place: Column, name: Column, how: str, idx: Column | None = None) -> Column:
+        return F.struct(F.lit(what).alias("what"), place.alias("place"), name.alias("name"), F.lit(how).alias("how"), (F.lit(-1) if idx is None else idx).alias("idx"))
+
+    def when(case: Column, *rows: Column) -> Column:
+        return F.when(case, F.array(*rows))
+
+    no = F.lit("")
+    flag = F.try_element_at(F.create_map(*(F.lit(x) for pair in FLAGS.items() for x in pair)), kind)
+    told = [
+        when(F.startswith(kind, F.lit("go")), change("loc", no, thing, "add")),
+        when(kind == "go_closed", change("door", no, thing, "gone"), change("told", no, thing, "add")),
+        when(kind.isin(*LISTS, "open_empty"), change("door", no, thing, "add"), change("told", no, thing, "add")),
+        when(kind == "close", change("door", no, thing, "gone")),
+        when(empty, change("in", thing, F.lit(None).cast("string"), "clear")),
+        F.transform(items, lambda i, n: change("seen", no, i, "add", n)),
+        F.transform(items, lambda i, n: change("in", thing, i, "add", n)),
+        when(kind == "take", change("held", no, thing, "add"), change("in", other, thing, "gone"), change("seen", no, thing, "add")),
+        when(kind == "put", change("held", no, thing, "gone"), change("in", other, thing, "add"), change("seen", no, thing, "add")),
+        when(flag.isNotNull(), change("flag", thing, flag, "add")),
+    ]
+    rows = found.select(key, turn, "rank", "pos", "kind", F.explode(F.flatten(F.array_compact(F.array(*told)))).alias("c")).select(key, "kind", F.struct(turn, "rank", "pos", "c.idx").alias("at"), "c.what", "c.place", "c.name", "c.how")
+    numbered = F.col("name").rlike(r"\d\z")
+    before = W.partitionBy(key, F.regexp_replace("name", r" \d+\z", "")).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = F.when(numbered & (F.col("what") == "seen"), F.col("name"))
+    loose = (F.col("kind") == "go_near") & F.col("what").isin("seen", "in") & ~numbered
+    rows = rows.withColumn("low", F.min(known).over(before)).withColumn("high", F.max(known).over(before))
+    return rows.withColumn("name", F.when(loose & (F.col("low") == F.col("high")), F.col("low")).otherwise(F.col("name"))).select(key, "at", "what", "place", "name", "how")
 
-    kind = dict(found.dtypes)[key]
-    return listed.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
+
+def final_state(found: DataFrame, key: str, turn: str) -> DataFrame:
+    """key, current_loc, inventory, opened, closed, contents, flags, seen after all events: a row for each trajectory.
+
+    Held things stand in the order in which they were taken, contents in the order in which they came; the other sets by name.
+    """
+    at, how = F.col("at"), F.col("how")
+    place, name = W.partitionBy(key, "what", "place"), W.partitionBy(key, "what", "place", "name")
+    rows = changes(found, key, turn).withColumn("cleared", F.max(F.when(how == "clear", at)).over(place)).withColumn("gone", F.max(F.when(how == "gone", at)).over(name))
+    stays = (how == "add") & (F.col("cleared").isNull() | (at > F.col("cleared"))) & (F.col("gone").isNull() | (at > F.col("gone")))
+    one = rows.groupBy(key, "what", "place", "name").agg(F.min(F.when(stays, at)).alias("since"), F.max(at).alias("last"), F.max(how != "gone").alias("kept"))
+    timed = F.col("what").isin("held", "in")
+    entry = F.struct(F.when(timed, F.col("since")).alias("since"), "name")
+    sets = one.groupBy(key, "what", "place").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("since").isNotNull(), entry))), lambda e: e["name"]).alias("names"), F.max_by("name", "last").alias("latest"), F.max("kept").alias("kept"))
+
+    def of(what: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("what") == what, F.col("names"))), F.array().cast("array<string>"))
+
+    def by_place(what: str) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("what") == what) & F.col("kept"), F.struct("place", "names")))))
+
+    got = sets.groupBy(key).agg(
+        F.max(F.when(F.col("what") == "loc", F.col("latest"))).alias("current_loc"), of("held").alias("inventory"), of("door").alias("opened"), of("told").alias("told"),
+        by_place("in").alias("contents"), by_place("flag").alias("flags"), of("seen").alias("seen"),
+    )
+    return got.select(key, "current_loc", "inventory", "opened", F.array_except("told", "opened").alias("closed"), "contents", "flags", "seen")
 
 
 def cls(thing: Column) -> Column:
@@ -149,21 +165,6 @@ def goals(found: DataFrame, tasks: DataFrame, key: str, turn: str) -> DataFrame:
     return own.select(key, (sure(done) & (F.coalesce("target_obj", F.lit("")) != "")).alias("satisfied"), sure(F.col("took")).alias("took"), sure(F.col("any_put")).alias("placed"), sure(transformed).alias("transformed"), sure(F.col("toggled") & (kind == "look_at_obj_in_light")).alias("toggled"))
 
 
-def admissible(state: DataFrame) -> Column:
-    """Commands that a state allows, in order, each once: look, inventory, then by place and by what is held."""
-    here = F.coalesce(F.col("contents")[F.col("current_loc")], F.expr("array()").cast("array<string>"))
-    held, loc = F.col("inventory"), F.col("current_loc")
-    parts = [
-        F.array(F.lit("look"), F.lit("inventory")),
-        F.transform(F.array_sort(F.map_keys("contents")), lambda r: F.concat(F.lit("go to "), r)),
-        F.when(F.array_contains("closed", loc), F.array(F.concat(F.lit("open "), loc))),
-        F.when(F.array_contains("opened", loc), F.array(F.concat(F.lit("close "), loc))),
-        F.transform(here, lambda o: F.concat(F.lit("take "), o, F.lit(" from "), loc)),
-        F.when(loc.isNotNull(), F.transform(held, lambda o: F.concat(F.lit("move "), o, F.lit(" to "), loc))),
-    ]
-    return F.array_distinct(F.concat(*(F.coalesce(p, F.expr("array()").cast("array<string>")) for p in parts)))
-
-
 def listing_order(items: Column) -> Column:
     """By class, then by number from the highest."""
     ranked = F.transform(items, lambda o: F.struct(F.substring_index(o, " ", 1).alias("c"), (-F.coalesce(F.substring_index(o, " ", -1).try_cast("int"), F.lit(0))).alias("n"), o.alias("o")))
