@@ -360,6 +360,15 @@ def test_quality(spark, docs, none):
     assert {r["score"] for r in quality.score(docs, quality.train(docs, taught.limit(0))).collect()} == {1.0}
 
 
+def test_quality_of_a_row_is_its_own(spark):
+    """Neither the other rows of a batch nor the partitions change a score; an empty text takes nothing from its neighbour."""
+    rows = labelled(spark, lambda r: "###!!" + r.choice(WORDS).upper())
+    model = quality.train(rows.drop("label"), rows.where("doc_id % 2 = 0").select("doc_id", F.col("label").alias("quality")))
+    some = rows.drop("label").where("doc_id % 3 = 0").withColumn("text", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("text")))
+    answers = [sorted((r["doc_id"], r["score"]) for r in quality.score(same, model).select("doc_id", "score").collect()) for same in (some.coalesce(1), some.repartition(3, "text"), some.repartition(7))]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == some.count()
+
+
 # pipeline
 
 
