@@ -73,7 +73,7 @@ def chat_residual_names(spark, sf_dir):
 
 
 def chat_response_classes(spark, sf_dir):
-    kind = trajectory.response_class(F.when(F.col("turn") % 5 == 3, F.lit('{"error": "x"}')).when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.left("text", F.lit(40) + F.col("turn").cast("int") * 6)))
+    kind = trajectory.response_class(F.when(F.col("turn") % 5 == 3, F.lit('{"error": "x"}')).when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.col("text")))
     return table(spark, sf_dir, "conversations").groupBy(kind.alias("response")).agg(F.count("*").alias("n"))
 
 
@@ -147,7 +147,7 @@ SELECT role, count(*) FILTER (first) AS n_unique, count(*) FILTER (NOT first) AS
 WITH m AS (SELECT {MOVED} AS text FROM conversations), n(old_name) AS (VALUES ('the '), ('der '), ('que '))
 SELECT old_name, count(*) AS n FROM m, n WHERE contains(text, old_name) GROUP BY old_name""",
     "chat_response_classes": """
-WITH t AS (SELECT CASE WHEN turn % 5 = 3 THEN '{"error": "x"}' WHEN turn % 5 = 4 THEN '  ' ELSE left(text, 40 + turn * 6) END AS x FROM conversations),
+WITH t AS (SELECT CASE WHEN turn % 5 = 3 THEN '{"error": "x"}' WHEN turn % 5 = 4 THEN '  ' ELSE text END AS x FROM conversations),
 k AS (SELECT CASE WHEN trim(x) = '' THEN 'empty' WHEN contains(lower(x), '"error"') OR contains(lower(x), 'execution failed') OR contains(lower(x), 'traceback') THEN 'error'
   WHEN length(x) > 50 OR contains(lower(x), '"id"') OR contains(lower(x), '"title"') THEN 'data' ELSE 'success' END AS response FROM t)
 SELECT response, count(*) AS n FROM k GROUP BY response""",

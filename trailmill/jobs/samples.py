@@ -49,9 +49,9 @@ def sample_split_leaks(spark, sf_dir):
 
 
 def sample_disjoint(spark, sf_dir):
-    """Documents whose text no document of an even id has."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("g"))
-    return sampling.disjoint(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), ["g"]).select("doc_id")
+    """Documents outside of the train split (a split by document) whose text no document of the train split has."""
+    docs = sampling.split(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("g")), F.col("doc_id").cast("string"))
+    return sampling.disjoint(docs.where("split <> 'train'"), docs.where("split = 'train'"), ["g"]).select("doc_id")
 
 
 def stream_kills(spark, sf_dir):
@@ -105,5 +105,5 @@ WITH r AS (SELECT source, n_chars, CAST(floor((row_number() OVER (PARTITION BY s
     "sample_split_leaks": f"""
 WITH u AS (SELECT md5(text) AS g, {UNIT.format(42, "doc_id")} / 4294967296.0::DOUBLE AS u FROM documents), s AS (SELECT g, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'eval' END AS split FROM u)
 SELECT 'by document' AS rule, g, count(DISTINCT split) AS n_splits FROM s GROUP BY g HAVING count(DISTINCT split) > 1""",
-    "sample_disjoint": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)",
+    "sample_disjoint": f"WITH u AS (SELECT doc_id, md5(text) AS g, {UNIT.format(42, "doc_id")} / 4294967296.0::DOUBLE AS u FROM documents) SELECT doc_id FROM u WHERE u >= 0.8 AND g NOT IN (SELECT g FROM u WHERE u < 0.8)",
 }

@@ -12,7 +12,7 @@ from trailmill.operators import rollups, scoring
 
 def _predictions(spark, sf_dir):
     """Every fifth prediction is changed, some fail, some references are blank, some rows come twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left("text", F.lit(60)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     said = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text"), F.lit("!"))).when(F.col("doc_id") % 7 == 0, F.lit("ERROR: time-out")).otherwise(F.concat(F.lit("<tool_response> "), F.col("text"), F.lit(" </tool_response>")))
     rows = docs.select(F.col("doc_id").alias("index"), "lang", said.alias("prediction"), F.when(F.col("doc_id") % 11 == 0, F.lit("   ")).otherwise(F.col("text")).alias("reference"), F.lit(0).alias("copy"))
     return rows.unionByName(rows.where("index % 3 = 0").withColumn("prediction", F.lit("late copy")).withColumn("copy", F.lit(1)))
@@ -30,8 +30,8 @@ def score_rows(spark, sf_dir):
 
 
 def score_rouge_l(spark, sf_dir):
-    """Longest common subsequence of the first words of each document and of the next document's."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split(F.left("text", F.lit(200)), " "), 1, 12), " ").alias("text"))
+    """ROUGE-L of each whole document against the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pair = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
     return pair.select("doc_id", F.round(scoring.rouge_l(F.col("text"), F.col("other")), 6).alias("rouge_l"))
 
@@ -82,7 +82,7 @@ def label_rates(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (score_summary, score_rows, score_rouge_l, json_canonical, json_tool_calls, json_output_fields, doc_length_stats, doc_task_types, doc_goals, label_rates)}
 
 PREDICTIONS = """
-p AS (SELECT doc_id AS index, lang, left(text, 60) AS t, doc_id % 5 = 0 AS changed, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS failed, doc_id % 11 = 0 AS blank FROM documents),
+p AS (SELECT doc_id AS index, lang, text AS t, doc_id % 5 = 0 AS changed, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS failed, doc_id % 11 = 0 AS blank FROM documents),
 s AS (SELECT *, CASE WHEN failed THEN 'error' WHEN blank OR trim(t, ' ' || chr(10)) = '' THEN 'empty_reference' END AS reason, NOT changed AND NOT failed AS exact FROM p)"""
 
 ORACLE_SQL = {

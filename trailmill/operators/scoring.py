@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from trailmill.functions.jsonx import canonical, semantic_equal
 from trailmill.functions.text import strip_tags
 
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by an order that must be total; null keys are one key."""
@@ -41,25 +46,25 @@ def summary(scored: DataFrame, by: str) -> DataFrame:
     )
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the table, in SQL only."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence. A row of the table is one integer, a bit for each word of ``b``."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << i
+    row = every = (1 << len(b)) - 1
+    for w in a:
+        if w in at:
+            met = row & at[w]
+            row = (row + met | row - met) & every
+    return len(b) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        made = F.aggregate(
-            F.sequence(F.lit(0), F.size(b) - 1), F.struct(F.expr("array()").cast("array<int>").alias("r"), F.lit(0).alias("left")),
-            lambda acc, j: F.struct(
-                F.array_append(acc["r"], F.when(F.get(b, j) == x, F.when(j == 0, 1).otherwise(F.get(prev, j - 1) + 1)).otherwise(F.greatest(F.get(prev, j), acc["left"]))).alias("r"),
-                F.when(F.get(b, j) == x, F.when(j == 0, 1).otherwise(F.get(prev, j - 1) + 1)).otherwise(F.greatest(F.get(prev, j), acc["left"])).alias("left"),
-            ),
-        )
-        return made["r"]
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+def rouge_l(prediction: Column, reference: Column) -> Column:
+    """F1 of the longest common subsequence of the lower-cased words of whole texts; 0.0 where either side has none or is null."""
 
+    @F.pandas_udf("double")
+    def f1(a: pd.Series, b: pd.Series) -> pd.Series:
+        words = ([WORD.findall(x or "") for x in side] for side in (a, b))
+        return pd.Series([2.0 * lcs_length(p, r) / (len(p) + len(r)) if p and r else 0.0 for p, r in zip(*words, strict=True)], dtype="float64")
 
-def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of the words; 0.0 where either side has none."""
-    p, r = (F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "") for t in (prediction, reference))
-    common = lcs_length(p, r)
-    return F.when(F.size(p) + F.size(r) > 0, F.lit(2.0) * common / (F.size(p) + F.size(r))).otherwise(F.lit(0.0))
+    return f1(F.lower(prediction), F.lower(reference))
