@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import string
 import zlib
 
 import duckdb
@@ -153,6 +154,27 @@ def test_secrets(spark, docs, none):
     assert secrets.find(none, secrets.train(none)).count() == 0
 
 
+def test_recall_of_planted_secrets(spark):
+    """Random keys of each kind, alone and joined to ordinary text, are found inside their texts; ordinary texts have none."""
+    rng = random.Random(8)
+    letters = string.ascii_letters
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = {
+        "letters 32": lambda: f"key {key(letters, 32)} here",
+        "base 62, 40": lambda: f"key {key(letters + string.digits, 40)} here",
+        "after a path": lambda: f"see hooks/services/incoming/{key(letters + string.digits, 32)} now",
+        "after a name": lambda: f"set AWS_ACCESS_VALUE={key(letters + string.digits, 40)} now",
+    }
+    planted = [(i, kind, make()) for i, (kind, make) in enumerate(k for k in kinds.items() for _ in range(100))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")
+    rows = spark.createDataFrame([(i, t) for i, _, t in planted], "doc_id long, text string")
+    ratio = secrets.train(docs)
+    found = {r["doc_id"]: r["n_random"] for r in secrets.find(rows, ratio).collect()}
+    recall = {kind: sum(found[i] > 0 for i, k, _ in planted if k == kind) / 100 for kind in kinds}
+    assert min(recall.values()) >= 0.9, recall
+    assert secrets.find(docs, ratio).agg(F.sum("n_random")).first()[0] == 0
+
+
 # 7 lines
 
 
