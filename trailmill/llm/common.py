@@ -6,10 +6,7 @@ Every operator takes a DataFrame with at least ``doc_id`` and ``text``; other co
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmill.shared import new_path, shared_dir, stored  # noqa: F401  used by the operators
+
 #: Text bytes handled at once inside a task; a longer single text stands alone.
 BATCH_BYTES = 2_000_000
 #: Rows handled at once at most.
@@ -38,25 +37,6 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or unset_dir()
-
-
-@cache
-def unset_dir() -> str:
-    return tempfile.mkdtemp(prefix="trailmill-shared-", dir="/tmp")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``most`` bytes of ``column``."""
     for batch in batches:
