@@ -1,7 +1,7 @@
 """Phrases whose words go together more often than by chance.
 
-Suffixes are word places: a phrase is the first words of a suffix. Each task sorts the suffix pointers of a block by multikey
-three-way quicksort to the depth of the longest phrase, so that equal suffixes become one row with their number. Rows then go to one place
+Suffixes are word places: a phrase is the first words of a suffix, which ends before a word too rare for any phrase (a filter of fixed size tells most of them). Each task
+sorts the suffix pointers of a block by multikey three-way quicksort to the depth of the longest phrase, so that equal suffixes become one row with their number. Rows then go, packed, to one place
 for each leading word of a language; a word so frequent that its suffixes would crowd a place is routed by two leading
 words, and where both are so frequent by three, with the number of such pairs sent as rows of their own. There the same
 sort runs over the rows: partitions of equal words are phrases, their sizes are the counts, and partitions that are too small are
@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import arrow, mix, out, pieces, table
+from trailmill.llm.common import arrow, mix, out, pieces, raw, table
 from trailmill.operators.ordering import numbered_within
 from trailmill.shared import stored
 
@@ -121,17 +122,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return with_lang(docs).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-SUFFIXES = "route long, kind int, lang string, w1 string, w2 string, w3 string, n long"
 #: Kinds of rows: a suffix; a suffix whose first two words are both frequent, which gives no pair; the number of such a pair.
 PLAIN, TRIPLE, PAIR = 0, 1, 2
+#: Bits of the filter of words that are not rare: so many for each such word, within these powers of two. It may pass a rare word, never stop another.
+BITS_A_WORD, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+#: Routes are dealt to so many bins for each place, so that places are even.
+BINS = 8
 
 
-def suffixes(docs: DataFrame, frequent: dict[str, list[str]]) -> DataFrame:
-    """Distinct suffixes of each block with their number and their route; suffixes of one word are left out, since words are counted already."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT words for each place
+def hashes(by_lang: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    return mix(by_lang + np.uint64(31) * by_word)
+
+
+def digests(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
+
+
+def common_words(words: DataFrame, n: int) -> np.ndarray:
+    """The filter: a bit for the hash of each word in its language. At most MOST_BITS, whatever the corpus; what tasks have set is put together by Spark."""
+    bits = min(max(1 << (BITS_A_WORD * n - 1).bit_length(), FEWEST_BITS), MOST_BITS)
+
+    def run(batches):
+        to, cells = arrow("cell int, bits long"), np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            h = hashes(digests(raw(b, "lang")), digests(raw(b, "word"))) & np.uint64(bits - 1)
+            np.bitwise_or.at(cells, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        found = np.flatnonzero(cells)
+        for i in range(0, len(found), 65_536):
+            yield out(to, found[i : i + 65_536].astype(np.int32), cells[found[i : i + 65_536]].view(np.int64))
+
+    rows = words.select("lang", "word").mapInArrow(run, "cell int, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells = np.zeros(bits // 64, np.int64)
+    cells[np.asarray(rows.column("cell"))] = np.asarray(rows.column("bits"))
+    return cells.view(np.uint64)
+
+
+def routed(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray, bins: int) -> DataFrame:
+    """bin, lang, packed: distinct suffixes of each block with their number, those of one bin and language packed together.
+
+    A rare word can't be in a phrase that counts: a suffix ends before it, and suffixes of one word are left out, since words are counted already.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, common))  # FREQUENT words for each place, and MOST_BITS
 
     def run(batches):
-        to, often = arrow(SUFFIXES), {k: pa.array([w.encode() for w in v], pa.binary()) for k, v in sent.value.items()}
+        to, (often, common) = arrow("bin int, lang string, packed binary"), sent.value
+        often = {k: pa.array([w.encode() for w in v], pa.binary()) for k, v in often.items()}
+        mask, pressed = np.uint64(64 * len(common) - 1), zstandard.ZstdCompressor(level=1)
         for b in pieces(batches, most=BLOCK_BYTES):
             words, piece, text = words_of(texts_of(b))
             known = words.dictionary
@@ -140,20 +176,23 @@ def suffixes(docs: DataFrame, frequent: dict[str, list[str]]) -> DataFrame:
             langs = b.column("lang").dictionary_encode()
             lang = np.asarray(langs.indices, np.int64)[text]
             one = np.asarray(words.indices, np.int64)
+            by_word, by_lang = np.append(digests(known.to_pylist()), np.uint64(0)), digests([x.encode() for x in langs.dictionary.to_pylist()])
+            route = hashes(by_lang[lang], by_word[one])
+            bit = route & mask
+            real = (common[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
             two, three = np.full(len(one), -1), np.full(len(one), -1)
-            two[:-1] = np.where(piece[1:] == piece[:-1], one[1:], -1)
-            three[:-2] = np.where(piece[2:] == piece[:-2], one[2:], -1)
-            keep = two >= 0
-            lang, one, two, three = lang[keep], one[keep], two[keep], three[keep]
+            two[:-1] = np.where((piece[1:] == piece[:-1]) & real[1:], one[1:], -1)
+            three[:-2] = np.where((piece[2:] == piece[:-2]) & real[2:], one[2:], -1)
+            keep = np.flatnonzero(real & (two >= 0))
+            if not len(keep):
+                continue
+            lang, one, two, three, route = lang[keep], one[keep], two[keep], three[keep], route[keep]
             *_, (_, at, edges, n) = quicksort([lang * len(known) + one, two, three], np.ones(len(one)))
             first = at[edges[:-1]]  # one suffix of each kind stands for all
-            lang, one, two, three = lang[first], one[first], two[first], three[first]
+            lang, one, two, three, route = lang[first], one[first], two[first], three[first], route[first]
             hot = [np.flatnonzero(np.asarray(pc.is_in(known, often[name]))) + i * len(known) for i, name in enumerate(langs.dictionary.to_pylist()) if name in often]
             hot = np.concatenate(hot) if hot else np.zeros(0, np.int64)
-            by_word = np.array([*map(xxhash.xxh3_64_intdigest, known.to_pylist()), 0], np.uint64)
-            by_lang = np.array([xxhash.xxh3_64_intdigest(x) for x in langs.dictionary.to_pylist()], np.uint64)
             hot_one, hot_two = np.isin(lang * len(known) + one, hot), np.isin(lang * len(known) + two, hot)
-            route = mix(by_lang[lang] + np.uint64(31) * by_word[one])
             pair_route = mix(route + by_word[two])
             kind = np.where(hot_one & hot_two, TRIPLE, PLAIN)
             route = np.where(kind == TRIPLE, mix(pair_route + by_word[three]), np.where(hot_one, pair_route, route))
@@ -162,41 +201,68 @@ def suffixes(docs: DataFrame, frequent: dict[str, list[str]]) -> DataFrame:
             both = (lang[own] * len(known) + one[own]) * len(known) + two[own]
             _, where, which = np.unique(both, return_index=True, return_inverse=True)
             total, pair = np.bincount(which, n[own], len(where)).astype(np.int64), own[where]
-            rows = np.concatenate([np.flatnonzero((kind == PLAIN) | (three >= 0)), pair])  # a hot pair at the end of a piece is in the pair's number
-            m = len(rows) - len(pair)
-            kinds = np.concatenate([kind[rows[:m]], np.full(len(pair), PAIR)]).astype(np.int32)
-            routes = np.concatenate([route[rows[:m]], pair_route[pair]]).view(np.int64)
+            plain = np.flatnonzero((kind == PLAIN) | (three >= 0))  # a hot pair at the end of a piece is in the pair's number
+            rows, kinds = np.concatenate([plain, pair]), np.concatenate([kind[plain], np.full(len(pair), PAIR)])
+            to_bin = (np.concatenate([route[plain], pair_route[pair]]) % np.uint64(bins)).astype(np.int64)
+            order = np.lexsort((one[rows], lang[rows], to_bin))
+            rows, kinds, to_bin, n = rows[order], kinds[order], to_bin[order], np.concatenate([n[plain], total])[order]
             third = np.where(kinds == PAIR, -1, three[rows])
-            word = lambda ids: known.take(pa.array(ids, mask=ids < 0)).cast(pa.string())
-            yield out(to, routes, kinds, langs.dictionary.take(pa.array(lang[rows])), word(one[rows]), word(two[rows]), word(third), np.concatenate([n[rows[:m]], total]))
+            word = lambda ids: known.take(pa.array(ids, mask=ids < 0))
+            said = pc.binary_join_element_wise(word(one[rows]), word(two[rows]), word(third), b" ", null_handling="skip")
+            starts = np.flatnonzero(np.diff(to_bin * len(langs.dictionary) + lang[rows], prepend=-1))
+            packed = [pressed.compress(pack(kinds[i:j], n[i:j], said.slice(i, j - i))) for i, j in zip(starts, [*starts[1:], len(rows)], strict=True)]
+            yield out(to, to_bin[starts].astype(np.int32), langs.dictionary.take(pa.array(lang[rows[starts]])), packed)
+
+    return with_lang(docs).mapInArrow(run, "bin int, lang string, packed binary")
+
+
+def pack(kinds: np.ndarray, n: np.ndarray, said: pa.Array) -> bytes:
+    """Kinds, numbers and phrases of rows; no word holds a line end, so that may part the phrases."""
+    return np.uint32(len(n)).tobytes() + kinds.astype(np.uint8).tobytes() + n.astype("<i8").tobytes() + b"\n".join(said.to_pylist())
+
 
-    return with_lang(docs).mapInArrow(run, SUFFIXES)
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    m = int(np.frombuffer(data, np.uint32, 1)[0])
+    return np.frombuffer(data, np.uint8, m, 4), np.frombuffer(data, "<i8", m, 4 + m), data[4 + 9 * m :]
 
 
-def frequent_phrases(routed: DataFrame, least: int) -> DataFrame:
-    """lang, w1, w2, w3 (null: a pair), a: phrases of two and three words that occur ``least`` times or more, from rows that are routed already."""
+def frequent_phrases(binned: DataFrame, least: int) -> DataFrame:
+    """lang, w1, w2, w3 (null: a pair), a: phrases of two and three words that occur ``least`` times or more, from rows that are dealt already."""
     schema = "lang string, w1 string, w2 string, w3 string, a long"
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        langs, sizes, kinds, numbers, said, opened = [], [], [], [], [], zstandard.ZstdDecompressor()
+        for b in batches:
+            for name, packed in zip(b.column("lang").to_pylist(), b.column("packed"), strict=True):
+                k, n, text = unpack(opened.decompress(packed.as_buffer()))
+                langs.append(name)
+                sizes.append(len(n))
+                kinds.append(k)
+                numbers.append(n)
+                said.append(text)
+        if not langs:
             return
-        rows, to = pa.Table.from_batches(held).combine_chunks(), arrow(schema)
-        lang, one, two, three = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "w1", "w2", "w3"))
-        code = lambda x: np.asarray(x.indices.fill_null(-1), np.int64)
-        kind, n = np.asarray(rows.column("kind")), np.asarray(rows.column("n"))
-        keys = [code(lang) * max(len(one.dictionary), 1) + code(one), code(two), code(three)]
+        to, kind, n = arrow(schema), np.concatenate(kinds), np.concatenate(numbers)
+        names = pa.array(langs, pa.string()).dictionary_encode()
+        lang = np.repeat(np.asarray(names.indices, np.int64), sizes)
+        words, row, _ = words_of([b"\n".join(said)])  # a phrase a line, and its words in order
+        del said
+        ids, known = np.asarray(words.indices, np.int64), words.dictionary
+        start = np.searchsorted(row, np.arange(len(n)))
+        length = np.diff(np.append(start, len(ids)))
+        third = np.where(length == 3, ids[np.minimum(start + 2, len(ids) - 1)], -1)
+        keys = [lang * len(known) + ids[start], ids[start + 1], third]
         for depth, at, edges, _ in quicksort(keys, n, least):
             if not depth or not len(at):
                 continue
             own = np.where(kind[at] == (TRIPLE if depth == 1 else PAIR), 0, n[at])
             a, first = np.add.reduceat(own, edges[:-1]), at[edges[:-1]]
-            real = (a >= least) & (keys[2][first] >= 0 if depth == 2 else True)
-            first, a = pa.array(first[real]), a[real]
-            word = lambda x: x.take(first).cast(pa.string())
-            yield out(to, word(lang), word(one), word(two), word(three) if depth == 2 else pa.nulls(len(a), pa.string()), a)
+            real = (a >= least) & (third[first] >= 0 if depth == 2 else True)
+            first, a = first[real], a[real]
+            word = lambda x: known.take(pa.array(x)).cast(pa.string())
+            yield out(to, names.dictionary.take(pa.array(lang[first])), word(ids[start[first]]), word(ids[start[first] + 1]), word(third[first]) if depth == 2 else pa.nulls(len(a), pa.string()), a)
 
-    return routed.mapInArrow(run, schema)
+    return binned.mapInArrow(run, schema)
 
 
 def look_up(rows: DataFrame, counts: DataFrame, keys: list[str], counted: list[str], name: str, frequent_from: int) -> DataFrame:
@@ -232,7 +298,8 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     frequent: dict[str, list[str]] = {}
     for r in words.where(F.col("n") >= often).select("lang", "word").collect():  # at most FREQUENT for each place
         frequent.setdefault(r["lang"], []).append(r["word"])
-    found = stored(frequent_phrases(suffixes(docs, frequent).repartition(places, "route").drop("route"), least), "phrases")
+    common = common_words(words, words.count())
+    found = stored(frequent_phrases(routed(docs, frequent, common, BINS * places).repartition(places, "bin").drop("bin"), least), "phrases")
     pairs = found.where("w3 IS NULL").select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("a").alias("n"))
     ends = look_up(found.withColumn("last", F.coalesce("w3", "w2")), words, ["lang", "w1"], ["lang", "word"], "f1", often)
     ends = look_up(ends, words, ["lang", "last"], ["lang", "word"], "f_last", often)
