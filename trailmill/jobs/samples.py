@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trailmill.jobs.common import table
 from trailmill.jobs.trajectories import flags_sql
-from trailmill.operators import sampling, scoring
+from trailmill.operators import ordering, sampling, scoring
+from trailmill.shared import new_path
 from trailmill.streaming import kills
 
 
@@ -35,6 +36,27 @@ def sample_length_batches(spark, sf_dir):
     return rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
 
 
+def sample_kept_order(spark, sf_dir):
+    """Documents with a text of at least two words, in the order of their ids: the place among those kept, and whether they pass a budget of 2,000 characters."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    kept = sampling.kept_in_order(rows, F.contains(F.trim("text"), F.lit(" ")), [F.col("doc_id")], F.length("text"), 2000)
+    return kept.select("index", "doc_id", "overlong")
+
+
+def sample_ordered_files(spark, sf_dir):
+    """Documents written as files that are in order one after the other, and read back: the place in the concatenation."""
+    path = new_path(spark, "in-order")
+    ordering.write_in_order(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), [F.col("n_chars").desc(), F.col("doc_id")], path)
+    return ordering.read_in_order(spark, path, "place")
+
+
+def sample_first(spark, sf_dir):
+    """A prefix of a shuffled order, and the whole table where the limit is zero or less."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    part = lambda n, name: sampling.prefix(docs, [sampling.shuffle_key("doc_id"), F.col("doc_id")], n).select(F.lit(name).alias("part"), "doc_id")
+    return part(25, "25").unionByName(part(0, "all"))
+
+
 def sample_splits(spark, sf_dir):
     """A split by text, so that copies stay together."""
     rows = sampling.split(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("g")), F.col("g"))
@@ -72,16 +94,12 @@ def stream_daily(spark, sf_dir):
 
 def _drained(spark, frame, mode: str):
     """The stream's output so far, as a table in the shared folder: files, so that no result passes through the driver."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailmill-stream-", dir="/tmp")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     frame.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     return spark.read.schema(frame.schema).parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (sample_keep_first, sample_stratified, sample_shards, sample_round_robin, sample_length_batches, sample_splits, sample_split_leaks, sample_disjoint, stream_kills, stream_daily)}
+QUERIES = {f.__name__: f for f in (sample_keep_first, sample_stratified, sample_shards, sample_round_robin, sample_length_batches, sample_kept_order, sample_ordered_files, sample_first, sample_splits, sample_split_leaks, sample_disjoint, stream_kills, stream_daily)}
 
 KEY = "md5('{}:' || {})"
 UNIT = "CAST(('0x' || left(md5('{}:' || {}), 8)) AS BIGINT)"
@@ -101,6 +119,9 @@ SELECT doc_id, lang FROM n WHERE i <= 200 ORDER BY k, doc_id LIMIT 500""",
 WITH r AS (SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS INT) AS shard FROM documents) SELECT source, shard, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS checksum FROM r GROUP BY source, shard""",
     "sample_length_batches": """
 WITH r AS (SELECT source, n_chars, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents) SELECT source, batch, count(*) AS n, max(n_chars) AS longest FROM r GROUP BY source, batch""",
+    "sample_kept_order": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, doc_id, length(text) > 2000 AS overlong FROM documents WHERE contains(trim(text), ' ')",
+    "sample_ordered_files": "SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place FROM documents",
+    "sample_first": f"SELECT '25' AS part, doc_id FROM (SELECT doc_id FROM documents ORDER BY {KEY.format(7, 'doc_id')}, doc_id LIMIT 25) UNION ALL SELECT 'all', doc_id FROM documents",
     "sample_splits": f"WITH u AS (SELECT doc_id, {UNIT.format(42, 'md5(text)')} / 4294967296.0::DOUBLE AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'eval' END AS split FROM u",
     "sample_split_leaks": f"""
 WITH u AS (SELECT md5(text) AS g, {UNIT.format(42, "doc_id")} / 4294967296.0::DOUBLE AS u FROM documents), s AS (SELECT g, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'eval' END AS split FROM u)

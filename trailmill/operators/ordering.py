@@ -10,7 +10,7 @@ Nulls sort first in ascending order, as in Spark. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from trailmill.shared import stored
 PLACE = (1 << 33) - 1
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken yet."""
     while name.lower() in {t.lower() for t in taken}:
         name = f"_{name}"
     return name
@@ -29,7 +30,7 @@ def _free(name: str, taken: list[str]) -> str:
 def ranges(rows: DataFrame, order: list[Column], partitions: int | None = None) -> tuple[DataFrame, str, str]:
     """The rows in ranges of ``order``, stored, and the names of the columns with the range and the place in it (both new)."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tie, part, at = (_free(x, rows.columns) for x in ("_tie", "_part", "_at"))
+    tie, part, at = (free(x, rows.columns) for x in ("_tie", "_part", "_at"))
     kept = rows.withColumn(tie, F.monotonically_increasing_id())
     dealt = kept.repartitionByRange(n, *order, F.col(tie)).sortWithinPartitions(*order, F.col(tie)).drop(tie)
     own = F.monotonically_increasing_id()
@@ -57,7 +58,7 @@ def numbered_within(rows: DataFrame, by: list[str], order: list[Column], name: s
     A group of any size lies in as many ranges as it needs. Its first number is the least of a row for each of its ranges,
     and rows meet it by group and range, so no key of that join holds more than a range.
     """
-    whole, every = _free("_number", rows.columns), _free("_range", rows.columns)
+    whole, every = free("_number", rows.columns), free("_range", rows.columns)
     placed, part, at = ranges(rows, [*(F.col(b) for b in by), *order], partitions)
     before = offsets(placed, part, F.count("*")).withColumnRenamed("before", f"{at}_before")
     known = placed.join(F.broadcast(before), part).withColumn(whole, F.col(at) + F.col(f"{at}_before")).drop(at, f"{at}_before").withColumnRenamed(part, every)
@@ -73,3 +74,19 @@ def numbered_within(rows: DataFrame, by: list[str], order: list[Column], name: s
 def rows_at(rows: DataFrame, order: list[Column], first: int, last: int, name: str = "number") -> DataFrame:
     """Rows number ``first`` to ``last`` (from 0, end exclusive) of the whole order, at any depth: no task sorts more than a range."""
     return numbered(rows, order, name).where((F.col(name) >= first) & (F.col(name) < last))
+
+
+def write_in_order(rows: DataFrame, order: list[Column], path: str, partitions: int | None = None) -> None:
+    """Parquet files whose concatenation by name is the rows in order: each task writes one range, and no file is joined to another."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str, name: str = "number") -> DataFrame:
+    """The rows of such files with ``name``, their place in the concatenation: rows of the files before, and the place in the file."""
+    rows = spark.read.parquet(path)
+    columns = rows.columns
+    file, at = free("_file", columns), free("_at", columns)
+    placed = rows.select(*columns, F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+    before = offsets(placed, file, F.count("*")).withColumnRenamed("before", f"{at}_before")
+    return placed.join(F.broadcast(before), file).select(*columns, (F.col(at) + F.col(f"{at}_before")).alias(name))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmill.functions.text import normal, record_field, safe_int, strip
+from trailmill.operators import ordering
 
 PAGE, MOST = 5, 20
 
@@ -49,6 +50,11 @@ def page_args(index: Column, limit: Column) -> tuple[Column, Column]:
     return F.greatest(safe_int(index, 0), F.lit(0)), F.least(F.greatest(safe_int(limit, PAGE), F.lit(1)), F.lit(MOST))
 
 
+def first_int(value: Column) -> Column:
+    """The first integer in a text, as ``12`` in "12 plays"; null where there is none."""
+    return F.nullif(F.regexp_extract(value, r"-?\d+", 0), F.lit("")).try_cast("bigint")
+
+
 def song_filter(record: Column, args: dict) -> Column:
     """Genre, album, artist, substring, inclusive bounds of counts (missing: rejected) and of release dates (missing: kept)."""
     keep = F.lit(True)
@@ -60,7 +66,7 @@ def song_filter(record: Column, args: dict) -> Column:
     if args.get("query"):
         keep &= F.contains(normal(record), normal(F.lit(args["query"])))
     for name in ("play_count", "like_count"):
-        value = safe_int(record_field(record, name))
+        value = first_int(record_field(record, name))
         if f"min_{name}" in args:
             keep &= F.coalesce(value >= int(args[f"min_{name}"]), F.lit(False))
         if f"max_{name}" in args:
@@ -76,7 +82,7 @@ def song_filter(record: Column, args: dict) -> Column:
 
 
 def transaction_filter(record: Column, args: dict) -> Column:
-    """Direction, substring, bounds of amount and creation time; a missing or non-numeric field is rejected where it is bounded."""
+    """Direction, substring, bounds of amount and creation time, least number of likes; a missing or non-numeric field is rejected where it is bounded."""
     keep = F.lit(True)
     if args.get("direction"):
         keep &= normal(record_field(record, "direction")) == normal(F.lit(args["direction"]))
@@ -89,9 +95,18 @@ def transaction_filter(record: Column, args: dict) -> Column:
             keep &= F.coalesce(value >= args[f"min_{name}"], F.lit(False))
         if f"max_{name}" in args:
             keep &= F.coalesce(value <= args[f"max_{name}"], F.lit(False))
+    if "min_like_count" in args:
+        keep &= F.coalesce(first_int(record_field(record, "like_count")) >= int(args["min_like_count"]), F.lit(False))
     return keep
 
 
+def request_filter(record: Column, tool: Column, status: str | None = None) -> Column:
+    """Payment requests by direction, which the tool's name says (``..._received_...`` or ``..._sent_...``; any other: both), and by status."""
+    way = F.when(F.contains(tool, F.lit("received")), "received").when(F.contains(tool, F.lit("sent")), "sent")
+    keep = way.isNull() | F.coalesce(normal(record_field(record, "direction")) == way, F.lit(False))
+    return keep & (request_status(record) == status) if status else keep
+
+
 def request_status(record: Column) -> Column:
     """pending, approved or denied, by the fields that a payment request has."""
     return F.when(F.contains(record, F.lit("approved_at:")), "approved").when(F.contains(record, F.lit("denied_at:")), "denied").otherwise("pending")
@@ -110,21 +125,38 @@ def note_filter(record: Column, query: str) -> Column:
     return F.contains(normal(F.concat_ws(" ", *(record_field(record, f) for f in ("title", "content", "tags")))), normal(F.lit(query)))
 
 
+#: Pages of a whole table that end before this row are found by a top-k in each task, deeper ones by ranges of the order.
+DEEP = 10_000
+#: Pieces that a group is counted and ranked in first, so that a hot group is not one task's.
+PIECES = 16
+
+
 def page(matches: DataFrame, by: list[str], order: list[Column], index: int = 0, limit: int = PAGE) -> DataFrame:
     """The page's rows with ``total`` and ``pos``; a group with matches but none on the page gives one row with a null pos.
 
-    Total and position are windows over one sort of the group; the filter on position is applied as a
-    rank limit, so each task keeps a page at most.
+    Matches are read once: pieces of a group are counted and cut to the page's end, then the pieces meet, so a group's last task gets
+    at most a page's end of rows for each piece. Without groups, a page is a top-k, or, where it lies deep, a range of
+    row numbers that no task holds whole; the total is one row more. Columns named total or pos are replaced; rows that tie in ``order`` have no fixed place.
     """
     index, limit = max(0, index), min(MOST, max(1, limit))
-    total = matches.groupBy(*by).agg(F.count("*").alias("total")) if by else matches.agg(F.count("*").alias("total"))
+    matches = matches.drop(*({"total", "pos"} - set(by)))
     first, last = index * limit + 1, (index + 1) * limit
-    if by:
-        on_page = matches.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where((F.col("pos") >= first) & (F.col("pos") <= last))
-        return total.join(on_page, by, "left")
-    few = matches.orderBy(*order).limit(last)  # top-k in each task, then one merge
-    on_page = few.withColumn("pos", F.row_number().over(W.orderBy(*order))).where(F.col("pos") >= first)
-    return total.join(on_page, F.lit(True), "left")  # one row of total
+    if not by:
+        total = matches.agg(F.count("*").alias("total"))
+        if last <= DEEP:
+            few = matches.orderBy(*order).limit(last)  # top-k in each task, then one merge
+            on_page = few.withColumn("pos", F.row_number().over(W.orderBy(*order))).where(F.col("pos") >= first)
+        else:
+            on_page = ordering.rows_at(matches, order, first - 1, last, "pos").withColumn("pos", (F.col("pos") + 1).cast("int"))
+        return F.broadcast(total).join(on_page, F.lit(True), "left")  # one row of total
+    piece, own, all_ = ordering.free("_piece", matches.columns), ordering.free("_own", matches.columns), W.partitionBy(*by)
+    dealt = matches.withColumn(piece, F.pmod(F.xxhash64(*(c for c, kind in matches.dtypes if "map<" not in kind and "variant" not in kind)), F.lit(PIECES)))
+    dealt = dealt.withColumn("pos", F.row_number().over(W.partitionBy(*by, piece).orderBy(*order))).withColumn(own, F.count("*").over(W.partitionBy(*by, piece)))
+    few = dealt.where(F.col("pos") <= last).withColumn(own, F.when(F.col("pos") == 1, F.col(own)))
+    met = few.withColumn("total", F.sum(own).over(all_)).withColumn("pos", F.row_number().over(all_.orderBy(*order)))
+    here = F.col("pos").between(first, last)
+    met = met.where(here | (F.col("pos") == 1) & (F.col("total") < first))
+    return met.select(*by, "total", *(F.when(here, F.col(c)).alias(c) for c in matches.columns if c not in by), F.when(here, F.col("pos")).alias("pos"))
 
 
 def envelope(paged: DataFrame, by: list[str], key: Column, item: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmill.operators import ordering
+
 
 def shuffle_key(*ids: str, seed: int = 7) -> Column:
     """A pseudo-random order that any engine can repeat: md5 of seed and id."""
@@ -25,13 +27,26 @@ def shard(rows: DataFrame, ids: list[str], n: int, seed: int = 7) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """Adds shard: place in the group modulo n, i.e. rows k, k + n, k + 2n ... go together."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1, F.lit(n)))
+    """Adds shard: place in the group modulo n, i.e. rows k, k + n, k + 2n ... go together. A group of any size is numbered by many tasks. A column of that name is replaced."""
+    placed = ordering.numbered_within(rows.drop("shard"), [by], [F.col(c) for c in order], "shard")
+    return placed.withColumn("shard", F.pmod("shard", F.lit(n)).cast("int"))
 
 
 def length_batches(rows: DataFrame, by: str, length: Column, ids: list[str], size: int) -> DataFrame:
-    """Adds batch: rows of a shard by length, then cut into batches of ``size``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(length, *ids)) - 1) / size).cast("long"))
+    """Adds batch: rows of a shard by length, then cut into batches of ``size``; as above. A column of that name is replaced."""
+    placed = ordering.numbered_within(rows.drop("batch"), [by], [length, *(F.col(c) for c in ids)], "batch")
+    return placed.withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+
+
+def kept_in_order(rows: DataFrame, kept: Column, order: list[Column], length: Column, budget: int) -> DataFrame:
+    """The rows that are kept, with ``index``, their place among them in the source's order, and ``overlong``, whether their length passes the budget (a null length doesn't)."""
+    placed = ordering.numbered(rows.where(kept).drop("index", "overlong"), order, "index")
+    return placed.withColumn("overlong", F.coalesce(length > budget, F.lit(False)))
+
+
+def prefix(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order that ends in a key; all rows where n is zero or less. A top-k in each task, then one merge."""
+    return rows.orderBy(*order).limit(n) if n > 0 else rows
 
 
 def split(rows: DataFrame, group: Column, train: float = 0.8, test: float = 0.1, seed: int = 42) -> DataFrame:
