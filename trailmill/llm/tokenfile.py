@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import arrow, id_and_text, out, pieces, raw, table
+from trailmill.llm.common import arrow, cut_words, id_and_text, out, pieces, raw, table
 from trailmill.operators.ordering import offsets
 from trailmill.shared import new_path, stored
 
@@ -38,39 +38,71 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4096
 DICTIONARY_BYTES, LEVEL = 65536, 3
 #: A file ends after so many bytes of frames, or documents; a longer single document has its own.
 FILE_BYTES, FILE_DOCS = 4_000_000, 16_384
+#: Text bytes encoded at once.
+BLOCK_BYTES = 8_000_000
 MAGIC, HEAD = b"TMZ1", "<4sHH8sI"
 END = 2
 
-#: White space that can't lie inside a token, as bytes.split() takes it; words are remembered up to this number.
-REMEMBERED = 300_000
+#: Words remembered by a worker, in each of two generations; words that go through the library in one text.
+REMEMBERED, TOGETHER = 400_000, 500
+#: White space, which no token holds; letters, and marks before which a word may be cut, since no token holds a letter and one of them; A-Z as a-z, which the vocabulary does itself.
+SPACE = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
+LETTER, MARK = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)]), np.isin(np.arange(256), [*b".,;:!?"])
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) < 91), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+#: A word of its own that parts words in one text; texts that hold it, or what a special token begins with, are given to the library whole.
+APART, SPECIAL = "\x01", b"<|"
+
+
+def _cut(data: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(data), bool)
+    at[1:] = MARK[data[1:]] & LETTER[data[:-1]]
+    return at
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's rule ends tokens at white space, so a text's ids are those of its words; each word goes through the
-    library once and is remembered as packed ids. Memory is bounded by ``REMEMBERED`` words.
+    By the vocabulary's rule no token holds white space, or a letter and a mark after it, and A-Z are a-z; so a text's ids are those of its words. Each word goes
+    through the library once, many in one text, and is remembered as packed ids; memory is bounded by ``REMEMBERED`` words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own, self.known = Tokenizer.from_file(path), {}
+        self.own, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.width = 2 if self.own.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        (self.apart,) = self.ids([APART])[0].tolist()
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the packed ids of each word."""
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            (got,) = self.ids([f" {APART} ".join([w.decode() for w in some])])
+            ends = np.flatnonzero(got == self.apart)
+            starts, data = np.append(0, ends + 1) * self.width, got.tobytes()
+            self.known.update((w, data[i:j]) for w, i, j in zip(some, starts.tolist(), [*(ends * self.width).tolist(), len(data)], strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text, without end id."""
-        split = [t.split() for t in texts]
+        whole = [i for i, t in enumerate(texts) if SPECIAL in t or APART.encode() in t]
+        odd = dict(zip(whole, self.ids([texts[i].decode() for i in whole]), strict=True)) if whole else {}
+        words, _, text = cut_words([b"" if i in odd else t for i, t in enumerate(texts)], SPACE, LOWER, _cut)
+        kinds = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list(set().union(*split).difference(self.known)) if split else []
-        for a in range(0, len(fresh), 4096):
-            some = fresh[a : a + 4096]
-            self.known.update(zip(some, (self.pack(e.ids) for e in self.own.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known, self.older = {}, self.known
+        fresh = [w for w in kinds if w not in self.known]
+        self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+        self.learn([w for w in fresh if w not in self.older])
+        packed = pa.array([self.known[w] for w in kinds], pa.binary()).take(words.indices)
+        ends = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, 4 * packed.offset) if len(packed) else np.zeros(1, np.int32)
+        data, edges = packed.buffers()[2].to_pybytes() if len(packed) else b"", ends[np.searchsorted(text, np.arange(len(texts) + 1))]
+        return [odd[i].tobytes() if i in odd else data[a:b] for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))]
 
 
 @lru_cache(maxsize=1)
@@ -121,7 +153,7 @@ def frames(docs: DataFrame, path: str, dictionary: bytes, end: int = END) -> Dat
     def run(batches):
         own, to = encoder(path), arrow(schema)
         pressed, _ = codec(dictionary)
-        for b in pieces(batches):
+        for b in pieces(batches, most=BLOCK_BYTES):
             ids = [x + own.pack([end]) for x in own.encode(raw(b))]
             yield out(to, b.column("doc_id").cast(pa.int64()), [len(x) // own.width for x in ids], [crc_of(x, own.width) for x in ids], [pressed.compress(x) for x in ids])
 
