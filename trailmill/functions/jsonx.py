@@ -84,7 +84,7 @@ TAGGED = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.DOTALL)
 BY_AGENT, BY_DEMO = ("arguments", "parameters"), ("parameters", "arguments")
 
 MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
-OPENS = re.compile(r'\{\s*["}]|\[\s*[\[{"\d\-tfn\]]')
+OPENS = re.compile(r'\{\s*(?:"(?:[^"\\]|\\.)*"\s*:|\})|\[\s*[\[{"\d\-tfn\]]', re.DOTALL)
 CLOSES = {"]": "[", "}": "{"}
 
 
@@ -199,4 +199,4 @@ def has_placeholder_argument(arguments: Column) -> Column:
 def first_list(text: Column) -> Column:
     """struct(key, items array<variant>) of the first member, in the text's order, that is a list and not empty; null where there is none."""
     lists = F.filter(F.map_entries(members(text)), lambda e: (kind_of(e["value"]) == "ARRAY") & (F.size(F.try_variant_get(e["value"], "$", "array<variant>")) > 0))
-    return F.transform(F.slice(lists, 1, 1), lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "array<variant>").alias("items")))[0]
+    return F.get(F.transform(F.slice(lists, 1, 1), lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "array<variant>").alias("items"))), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailmill import shared
 from trailmill.jobs.common import table
 from trailmill.jobs.trajectories import flags_sql
 from trailmill.operators import ordering, sampling, scoring
@@ -76,19 +77,31 @@ def sample_disjoint(spark, sf_dir):
     return sampling.disjoint(docs.where("split <> 'train'"), docs.where("split = 'train'"), ["g"]).select("doc_id")
 
 
+#: Files that the event streams arrive in, a micro-batch each.
+ARRIVALS = 5
+
+
+def _arriving(spark, sf_dir):
+    """The events as a stream of ARRIVALS micro-batches in the order of time: each is written after the one before, and taken alone."""
+    path = new_path(spark, "arrivals")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    placed = shared.stored(ordering.numbered(events, [F.col("ts"), F.col("event_id")], "place"), "placed")
+    n = placed.count()
+    for k in range(ARRIVALS):
+        placed.where((F.col("place") >= k * n // ARRIVALS) & (F.col("place") < (k + 1) * n // ARRIVALS)).drop("place").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_kills(spark, sf_dir):
-    """An extension: the first violation of each trajectory, from a stream over the event file with keyed state."""
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
-    rows = rows.select(F.col("user_id").cast("string").alias("rid"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("action"), (F.col("event_type") == "error").alias("nothing"))
+    """An extension: the first violation of each trajectory, from a stream of several micro-batches with keyed state."""
+    rows = _arriving(spark, sf_dir)
+    rows = rows.select(F.col("user_id").cast("string").alias("rid"), "ts", "event_id", F.col("event_type").alias("action"), (F.col("event_type") == "error").alias("nothing"))
     return _drained(spark, kills.kills(rows), "append")
 
 
 def stream_daily(spark, sf_dir):
-    """An extension: events by type in day windows with a watermark."""
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    got = _drained(spark, kills.windowed_rates(rows), "append")
+    """An extension: events by type in day windows with a watermark, over several micro-batches."""
+    got = _drained(spark, kills.windowed_rates(_arriving(spark, sf_dir)), "append")
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
 
 

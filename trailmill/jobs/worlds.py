@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import oxford, parse_action, resolve_instance, verb_slots
+from trailmill.functions.text import flat_lines, oxford, parse_action, resolve_instance, room_contents, room_map, thing_exists, verb_slots
 from trailmill.jobs.common import table
-from trailmill.operators import replay, rewards, trajectory
+from trailmill.operators import replay, rewards, tasks, trajectory
 
 #: The six kinds of household task.
 TASKS = ["pick_and_place_simple", "pick_two_obj_and_place", "pick_clean_then_place_in_recep", "pick_heat_then_place_in_recep", "pick_cool_then_place_in_recep", "look_at_obj_in_light"]
@@ -55,14 +55,23 @@ def world_goals(spark, sf_dir):
     return replay.goals(replay.events(_messages(spark, sf_dir), "l_orderkey", "turn", "content"), _tasks(spark, sf_dir), "l_orderkey", "turn")
 
 
+def _prompts(spark, sf_dir):
+    """l_orderkey, prompt: how things stand before the first turn, by the order's key."""
+    key = F.col("o_orderkey")
+    scene = F.concat(F.lit("## INITIAL SCENE\n- cabinet 1 ("), F.when(key % 2 == 0, "closed").otherwise("open"), F.lit(")\n  - shelf 1 (unknown)\n"), F.when(key % 3 == 0, "- desk 1 (closed)\n- desk (open)\n").otherwise(""))
+    located = F.concat(F.lit("\n## INITIAL OBJECT LOCATIONS\n- plate 1: on shelf 1\n"), F.when(key % 5 == 0, "- mug 1: in cabinet 1\n").otherwise(""), F.lit("\n## RULES\n- pen 9: in desk 9\n"))
+    return table(spark, sf_dir, "orders").select(key.alias("l_orderkey"), F.concat(F.lit("You are a world.\n"), scene, located).alias("prompt"))
+
+
 def world_states(spark, sf_dir):
-    """The state after each episode: where, what is held, open and closed things, contents, flags, and what was seen."""
-    got = replay.final_state(replay.events(_messages(spark, sf_dir), "l_orderkey", "turn", "content"), "l_orderkey", "turn")
+    """The state after each episode, from what the prompt tells and what happens: where, places, what is held, open and closed things, contents, flags, and what was seen."""
+    told = replay.events(_messages(spark, sf_dir), "l_orderkey", "turn", "content")
+    got = replay.final_state(told.unionByName(replay.initial(_prompts(spark, sf_dir), "l_orderkey", "prompt", "turn")), "l_orderkey", "turn")
 
     def told(sets: str, between: str) -> Column:
         return F.array_join(F.transform(F.array_sort(F.map_keys(sets)), lambda k: F.concat(k, F.lit("="), F.array_join(F.col(sets)[k], "+"))), between)
 
-    lists = [F.array_join(F.array_sort(c) if c == "inventory" else F.col(c), ",").alias(name) for c, name in (("inventory", "held"), ("opened", "opened"), ("closed", "closed"), ("seen", "seen"))]
+    lists = [F.array_join(F.array_sort(c) if c == "inventory" else F.col(c), ",").alias(name) for c, name in (("places", "places"), ("inventory", "held"), ("opened", "opened"), ("closed", "closed"), ("seen", "seen"))]
     return got.select("l_orderkey", F.coalesce("current_loc", F.lit("")).alias("current_loc"), *lists, told("flags", ",").alias("flags"), told("contents", ";").alias("contents"))
 
 
@@ -106,7 +115,42 @@ def world_app_rewards(spark, sf_dir):
     return n.select("o_custkey", F.round(rewards.app_action(c), 6).alias("action_reward"), F.round(question, 6).alias("question_reward"))
 
 
-QUERIES = {f.__name__: f for f in (world_events, world_goals, world_states, world_rewards, world_actions, world_app_rewards)}
+def room_maps(spark, sf_dir):
+    """Room maps made of parts, a prompt for each brand, parsed back to rooms and their contents; of two blocks of a room the last counts."""
+    block = F.concat(F.lit("[Room "), _s(F.col("p_size")), F.lit("]\n  "), F.col("p_name"), F.lit("\n\tthe agent\n"), F.col("p_type"), F.lit(" "))
+    own = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("blocks"))
+    prompt = F.concat(F.lit("Task: look\n\n## ROOMS\n\n"), F.col("blocks"), F.lit("\n\n## RULES\n[none]"))
+    rooms = own.select("p_brand", F.explode(room_map(prompt)).alias("room", "contents"), prompt.alias("p"))
+    return rooms.where(F.col("room") != "none").select("p_brand", "room", flat_lines(F.col("contents")).alias("contents"), (F.length(room_contents(F.col("p"), F.initcap(F.col("room")))) > 0).alias("found"))
+
+
+def _moves(spark, sf_dir):
+    t = F.col("turn")
+    said = (
+        F.when(t % 5 == 0, F.concat(F.lit("You move to the hall "), _s(t), F.lit(". Fine.")))
+        .when(t % 5 == 1, F.concat(F.lit("This outside location is called the Yard "), _s(t), F.lit(".")))
+        .when(t % 5 == 2, F.concat(F.lit("You are in: a place. It is called the den "), _s(t), F.lit(".")))
+        .when(t % 5 == 3, F.lit("It is called the nothing."))
+        .otherwise(F.lit("You look."))
+    )
+    return table(spark, sf_dir, "conversations").where(F.col("conv_id") % 4 > 0).select("conv_id", "turn", "role", said.alias("said"))
+
+
+def room_latest(spark, sf_dir):
+    """The room of each conversation's latest user turn that names one, and the first that is named."""
+    m = _moves(spark, sf_dir)
+    last, first = tasks.current_room(m, "conv_id", "turn", "role", "said"), tasks.first_room(m, "conv_id", "turn", "role", "said")
+    return last.join(first.withColumnRenamed("room", "began"), "conv_id")
+
+
+def world_things(spark, sf_dir):
+    """Whether a thing is told of in the text of an order's world or is held."""
+    p = _prompts(spark, sf_dir)
+    held = F.when(F.col("l_orderkey") % 7 == 0, F.array(F.lit("Lamp 3"))).otherwise(F.array().cast("array<string>"))
+    return p.select("l_orderkey", *(thing_exists(F.col("prompt"), held, F.lit(t)).alias(t.split()[0].lower()) for t in ("Mug 1", "LAMP 3", "desk 1", "sofa 1")))
+
+
+QUERIES = {f.__name__: f for f in (room_maps, room_latest, world_things, world_events, world_goals, world_states, world_rewards, world_actions, world_app_rewards)}
 
 STEPS = """
 l AS (SELECT l_orderkey, l_partkey % 8 AS kind, 'mug ' || (l_partkey % 3 + 1) AS mug, 'desk ' || (l_suppkey % 2 + 1) AS desk, l_suppkey % 10 <> 9 AS heard,
@@ -124,6 +168,13 @@ r AS (SELECT g.l_orderkey, CASE task WHEN 0 THEN n_put > 0 WHEN 1 THEN n_put >=
   took, placed, (task IN (2, 4) AND k4) OR (task = 3 AND k5) AS transformed, task = 5 AND k6 AS toggled FROM g LEFT JOIN c ON c.l_orderkey = g.l_orderkey LEFT JOIN lit ON lit.l_orderkey = g.l_orderkey)"""
 
 ORACLE_SQL = {
+    "room_maps": """
+WITH r AS (SELECT p_brand, p_size, arg_max(p_name || ' ' || p_type, p_partkey) AS c FROM part GROUP BY ALL) SELECT p_brand, 'room ' || p_size AS room, lower(c) AS contents, true AS found FROM r""",
+    "room_latest": """
+WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE turn % 5 WHEN 0 THEN 'hall ' || turn WHEN 1 THEN 'Yard ' || turn WHEN 2 THEN 'den ' || turn END END AS room,
+  CASE WHEN role = 'user' THEN CASE turn % 5 WHEN 1 THEN 'yard ' || turn WHEN 2 THEN 'den ' || turn WHEN 3 THEN 'nothing' END END AS named FROM conversations WHERE conv_id % 4 > 0)
+SELECT conv_id, coalesce(arg_max(room, turn) FILTER (room IS NOT NULL), 'unknown') AS room, coalesce(arg_min(named, turn) FILTER (named IS NOT NULL), 'hallway') AS began FROM m GROUP BY conv_id""",
+    "world_things": "SELECT o_orderkey AS l_orderkey, o_orderkey % 5 = 0 AS mug, o_orderkey % 7 = 0 AS lamp, o_orderkey % 3 = 0 AS desk, false AS sofa FROM orders",
     "world_events": f"""WITH {STEPS}, e AS (
   SELECT l_orderkey, CASE WHEN kind <= 1 THEN 'take' WHEN kind <= 3 THEN 'put' WHEN kind = 4 THEN 'clean' WHEN kind = 5 THEN 'heat' WHEN kind = 6 THEN 'use' ELSE 'go_open' END AS kind FROM h
   UNION ALL SELECT l_orderkey, 'cool' FROM h WHERE kind = 4)
@@ -132,15 +183,18 @@ SELECT kind, count(*) AS n, count(DISTINCT l_orderkey) AS n_episodes FROM e GROU
     "world_states": f"""WITH {STEPS},
 m AS (SELECT l_orderkey, mug, arg_max(kind, turn) FILTER (kind <= 3) AS last, bool_or(kind = 4) AS k4, bool_or(kind = 5) AS k5 FROM h GROUP BY l_orderkey, mug),
 f AS (SELECT l_orderkey, string_agg(mug, ',' ORDER BY mug) FILTER (last <= 1) AS held, string_agg(mug || '=' || concat_ws('+', CASE WHEN k4 THEN 'clean+cool' END, CASE WHEN k5 THEN 'hot' END), ',' ORDER BY mug) FILTER (k4 OR k5) AS flags FROM m GROUP BY l_orderkey),
-w AS (SELECT l_orderkey, arg_max(desk, turn) FILTER (kind = 7) AS loc, bool_or(kind = 6) AS lamp, string_agg(DISTINCT desk, ',' ORDER BY desk) FILTER (kind = 7) AS opened FROM h GROUP BY l_orderkey),
-y AS (SELECT l_orderkey, string_agg(DISTINCT thing, ',' ORDER BY thing) AS seen FROM (SELECT l_orderkey, mug AS thing FROM h WHERE kind IN (0, 1, 2, 3, 7) UNION ALL SELECT l_orderkey, 'pen 1' FROM h WHERE kind = 7) GROUP BY l_orderkey),
-adds AS (SELECT l_orderkey, desk, mug AS thing, turn * 2 + 1 AS at FROM h WHERE kind IN (2, 3, 7) UNION ALL SELECT l_orderkey, desk, 'pen 1', turn * 2 FROM h WHERE kind = 7),
-gone AS (SELECT l_orderkey, desk, mug AS thing, max(turn * 2 + 1) AS until FROM h WHERE kind = 1 GROUP BY ALL),
+s AS (SELECT o_orderkey AS l_orderkey, o_orderkey % 2 = 0 AS shut, o_orderkey % 3 = 0 AS desk, o_orderkey % 5 = 0 AS mug FROM orders),
+w AS (SELECT l_orderkey, arg_max(desk, turn) FILTER (kind = 7) AS loc, bool_or(kind = 6) AS lamp, coalesce(bool_or(kind = 7 AND desk = 'desk 1'), false) AS came1, coalesce(bool_or(kind = 7 AND desk = 'desk 2'), false) AS came2 FROM h GROUP BY l_orderkey),
+y AS (SELECT l_orderkey, string_agg(DISTINCT thing, ',' ORDER BY thing) AS seen FROM (SELECT l_orderkey, mug AS thing FROM h WHERE kind IN (0, 1, 2, 3, 7) UNION ALL SELECT l_orderkey, 'pen 1' FROM h WHERE kind = 7 UNION ALL SELECT l_orderkey, 'plate 1' FROM s UNION ALL SELECT l_orderkey, 'mug 1' FROM s WHERE mug) GROUP BY l_orderkey),
+adds AS (SELECT l_orderkey, desk, mug AS thing, turn * 2 + 1 AS at FROM h WHERE kind IN (2, 3, 7) UNION ALL SELECT l_orderkey, desk, 'pen 1', turn * 2 FROM h WHERE kind = 7 UNION ALL SELECT l_orderkey, 'shelf 1', 'plate 1', -2 FROM s UNION ALL SELECT l_orderkey, 'cabinet 1', 'mug 1', -1 FROM s WHERE mug),
+gone AS (SELECT l_orderkey, CASE kind WHEN 1 THEN desk ELSE 'shelf 1' END AS desk, mug AS thing, max(turn * 2 + 1) AS until FROM h WHERE kind <= 1 GROUP BY ALL),
 inside AS (SELECT a.l_orderkey, a.desk, a.thing, min(a.at) FILTER (g.until IS NULL OR a.at > g.until) AS since FROM adds a LEFT JOIN gone g ON g.l_orderkey = a.l_orderkey AND g.desk = a.desk AND g.thing = a.thing GROUP BY ALL),
 place AS (SELECT l_orderkey, desk, coalesce(string_agg(thing, '+' ORDER BY since) FILTER (since IS NOT NULL), '') AS things FROM inside GROUP BY ALL),
 con AS (SELECT l_orderkey, string_agg(desk || '=' || things, ';' ORDER BY desk) AS contents FROM place GROUP BY l_orderkey)
-SELECT f.l_orderkey, coalesce(loc, '') AS current_loc, coalesce(held, '') AS held, coalesce(opened, '') AS opened, '' AS closed, coalesce(seen, '') AS seen, concat_ws(',', CASE WHEN lamp THEN 'desklamp 1=on' END, flags) AS flags, coalesce(contents, '') AS contents
-FROM f JOIN w ON f.l_orderkey = w.l_orderkey LEFT JOIN y ON y.l_orderkey = f.l_orderkey LEFT JOIN con ON con.l_orderkey = f.l_orderkey""",
+SELECT s.l_orderkey, coalesce(loc, '') AS current_loc, 'cabinet 1' || CASE WHEN s.desk THEN ',desk 1' ELSE '' END || ',shelf 1' AS places, coalesce(held, '') AS held,
+  concat_ws(',', CASE WHEN NOT shut THEN 'cabinet 1' END, CASE WHEN came1 THEN 'desk 1' END, CASE WHEN came2 THEN 'desk 2' END) AS opened, concat_ws(',', CASE WHEN shut THEN 'cabinet 1' END, CASE WHEN s.desk AND NOT coalesce(came1, false) THEN 'desk 1' END) AS closed,
+  seen, concat_ws(',', CASE WHEN lamp THEN 'desklamp 1=on' END, flags) AS flags, contents
+FROM s JOIN y ON y.l_orderkey = s.l_orderkey JOIN con ON con.l_orderkey = s.l_orderkey LEFT JOIN f ON f.l_orderkey = s.l_orderkey LEFT JOIN w ON w.l_orderkey = s.l_orderkey""",
     "world_rewards": f"""WITH {GOALS},
 a AS (SELECT l_orderkey, turn, kind = 7 AS nothing, CASE WHEN kind <= 1 THEN 'p' WHEN kind = 2 THEN 'm' WHEN kind = 3 THEN 'u' WHEN kind = 4 THEN 'c' WHEN kind = 5 THEN 'h' WHEN kind = 6 THEN 't' ELSE 'a' || desk END AS act FROM l),
 i AS (SELECT *, turn - row_number() OVER (PARTITION BY l_orderkey, act ORDER BY turn) AS g, turn - row_number() OVER (PARTITION BY l_orderkey, nothing ORDER BY turn) AS ng FROM a),

@@ -103,11 +103,11 @@ def with_dimension(rows: DataFrame, key: str, dimension: DataFrame, value: str,
 
     The dimension is counted up to ``sent`` rows: so few go to every task, more are joined by a shuffle whose hot keys Spark splits. Both give the same rows.
     """
-    small = dimension.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    theirs, given = ordering.free("_key", rows.columns), ordering.free("_value", rows.columns)
+    small = dimension.select(F.col(key).alias(theirs), F.col(value).alias(given))
     few = small.limit(sent + 1).count() <= sent
-    own = ordering.free("_rows_key", rows.columns)
-    joined = rows.drop(name).withColumn(own, F.col(key)).join(F.broadcast(small) if few else small, F.col(own) == F.col("_key"), "left")
-    return joined.withColumn(name, F.coalesce("_value", F.lit(default))).drop("_key", "_value", own)
+    joined = rows.join(F.broadcast(small) if few else small, F.col(key) == F.col(theirs), "left")
+    return joined.withColumn(name, F.coalesce(given, F.lit(default))).drop(theirs, given)
 
 
 def dimension(spark, values: dict[str, str], key: str, value: str) -> DataFrame:

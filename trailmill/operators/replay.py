@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import split_listed
+from trailmill.functions.text import heading, split_listed, strip
+from trailmill.shared import stored
 
 THING = r"([\w ]+\d+)"
 #: What observations say, in the order in which a message's events apply: kind, pattern, groups (a thing, then a place or a list).
@@ -58,13 +59,35 @@ def events(messages: DataFrame, key: str, turn: str, content: str, role: str | N
 
 #: Kinds of event that tell what is in a place.
 LISTS = ("go_open", "go_near", "open")
+#: The headings of a prompt that tell how things stand at first, and the lines under them: a place with its state, and a thing with its place.
+SCENE, LOCATIONS = "## INITIAL SCENE", "## INITIAL OBJECT LOCATIONS"
+SCENE_LINE = r"(?mU)^[^\S\n]*-[^\S\n]+([\w ]+\d+)[^\S\n]*\((open|closed|unknown)\)"
+LOCATION_LINE = r"(?mU)^[^\S\n]*-[^\S\n]+([\w ]+\d+)[^\S\n]*:[^\S\n]*(?:in|on)[^\S\n]+([\w ]+\d+)"
+
+
+def initial(prompts: DataFrame, key: str, prompt: str, turn: str, before: int = -1) -> DataFrame:
+    """What a prompt tells of the world before any message, in the form of ``events`` at turn ``before``: places with their state, and things with their place. Put together with ``events`` it gives states a beginning."""
+    scene, located = heading(F.col(prompt), SCENE), heading(F.col(prompt), LOCATIONS)
+
+    def lines(text: Column, pattern: str) -> list[Column]:
+        return [F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)), strip) for k in (1, 2)]
+
+    places, states = lines(scene, SCENE_LINE)
+    things, where = lines(located, LOCATION_LINE)
+
+    def told(rank: int, kind: Column, i: Column, thing: Column, other: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), i.alias("pos"), kind.alias("kind"), thing.alias("thing"), other.alias("other"))
+
+    first = F.transform(places, lambda p, i: told(0, F.concat(F.lit("scene_"), F.get(states, i)), i, p, F.lit(None).cast("string")))
+    then = F.transform(things, lambda t, i: told(1, F.lit("located"), i, t, F.get(where, i)))
+    return prompts.select(key, F.lit(before).alias(turn), F.explode(F.concat(first, then)).alias("e")).select(key, turn, "e.*")
 
 
 def changes(found: DataFrame, key: str, turn: str) -> DataFrame:
     """key, at, what, place, name, how: what each event adds to a set, takes out of it (gone), or empties (clear).
 
-    Sets: loc (places come to, the last one counts), door (open things), told (things known to be open or closed), held, seen, in (by place), flag
-    (by thing). An item that a loose arrival names without a number is the only numbered one of its class seen so far, if there is one.
+    Sets: loc (places come to, the last one counts), known (places that a prompt lists), door (open things), told (things known to be open or closed), held, seen, in (by place),
+    flag (by thing). An item that a loose arrival names without a number is the only numbered one of its class seen so far, if there is one.
     """
     kind, thing, other = F.col("kind"), F.col("thing"), F.col("other")
     empty = kind.isin("go_nothing", "open_empty") | ((kind == "go_near") & (F.lower(F.trim(other)) == "nothing"))
@@ -83,6 +106,10 @@ def changes(found: DataFrame, key: str, turn: str) -> DataFrame:
         when(kind == "go_closed", change("door", no, thing, "gone"), change("told", no, thing, "add")),
         when(kind.isin(*LISTS, "open_empty"), change("door", no, thing, "add"), change("told", no, thing, "add")),
         when(kind == "close", change("door", no, thing, "gone")),
+        when(F.startswith(kind, F.lit("scene_")), change("known", no, thing, "add")),
+        when(kind == "scene_open", change("door", no, thing, "add"), change("told", no, thing, "add")),
+        when(kind == "scene_closed", change("door", no, thing, "gone"), change("told", no, thing, "add")),
+        when(kind == "located", change("in", other, thing, "add"), change("seen", no, thing, "add")),
         when(empty, change("in", thing, F.lit(None).cast("string"), "clear")),
         F.transform(items, lambda i, n: change("seen", no, i, "add", n)),
         F.transform(items, lambda i, n: change("in", thing, i, "add", n)),
@@ -100,7 +127,7 @@ def changes(found: DataFrame, key: str, turn: str) -> DataFrame:
 
 
 def final_state(found: DataFrame, key: str, turn: str) -> DataFrame:
-    """key, current_loc, inventory, opened, closed, contents, flags, seen after all events: a row for each trajectory.
+    """key, current_loc, places, inventory, opened, closed, contents, flags, seen after all events: a row for each trajectory. ``places``: those that a prompt lists (``initial``).
 
     Held things stand in the order in which they were taken, contents in the order in which they came; the other sets by name.
     """
@@ -120,10 +147,10 @@ def final_state(found: DataFrame, key: str, turn: str) -> DataFrame:
         return F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("what") == what) & F.col("kept"), F.struct("place", "names")))))
 
     got = sets.groupBy(key).agg(
-        F.max(F.when(F.col("what") == "loc", F.col("latest"))).alias("current_loc"), of("held").alias("inventory"), of("door").alias("opened"), of("told").alias("told"),
+        F.max(F.when(F.col("what") == "loc", F.col("latest"))).alias("current_loc"), of("known").alias("places"), of("held").alias("inventory"), of("door").alias("opened"), of("told").alias("told"),
         by_place("in").alias("contents"), by_place("flag").alias("flags"), of("seen").alias("seen"),
     )
-    return got.select(key, "current_loc", "inventory", "opened", F.array_except("told", "opened").alias("closed"), "contents", "flags", "seen")
+    return got.select(key, "current_loc", "places", "inventory", "opened", F.array_except("told", "opened").alias("closed"), "contents", "flags", "seen")
 
 
 def cls(thing: Column) -> Column:
@@ -134,9 +161,9 @@ def goals(found: DataFrame, tasks: DataFrame, key: str, turn: str) -> DataFrame:
     """key, satisfied, took, placed, transformed, toggled. tasks: key, task_type, target_obj, destination, toggle_target (lower case).
 
     A task counts as done if its object was placed (two of them, or one that was cleaned, heated, cooled at any time),
-    or if the lamp was turned on while the object was held. An object without a target is never done.
+    or if the lamp was turned on while the object was held. An object without a target is never done. Events are stored once, as three parts of the answer read them.
     """
-    e = found.join(tasks, key)
+    e = stored(found, "events").join(tasks, key)
     target, place = cls(F.col("thing")) == F.col("target_obj"), cls(F.col("other")) == F.col("destination")
     lamp = (F.col("kind") == "use") & F.contains(F.col("thing"), F.col("toggle_target")) & (F.col("toggle_target") != "")
     at = F.struct(turn, "rank", "pos")

@@ -40,3 +40,17 @@ def demo_flags(rows: DataFrame, key: str, said: str) -> DataFrame:
 def winning(rows: DataFrame, won: str, score: str, full: float = 100) -> DataFrame:
     """Adds winning and perfect (a score of ``full`` or more); what is null is neither."""
     return rows.withColumns({"winning": F.coalesce(F.col(won), F.lit(False)), "perfect": F.coalesce(F.col(score) >= full, F.lit(False))})
+
+
+def current_room(messages: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:
+    """key, room: the room that the latest user message names which names any; ``unknown`` where none does. The latest is found by a maximum, partly before the shuffle."""
+    room = F.when(F.col(role) == "user", text.room_said(F.col(content)))
+    latest = F.max(F.when(room.isNotNull(), F.struct(F.col(turn).alias("at"), room.alias("room"))))
+    return messages.groupBy(key).agg(latest.alias("_l")).select(key, F.coalesce("_l.room", F.lit("unknown")).alias("room"))
+
+
+def first_room(messages: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:
+    """key, room: the room that the first user message which names one calls it, in lower case; ``hallway`` where none does."""
+    said = F.when((F.col(role) == "user") & F.col(content).rlike(text.NAMED), F.lower(text.strip(F.regexp_extract(content, text.NAMED, 1))))
+    earliest = F.min(F.when(said.isNotNull(), F.struct(F.col(turn).alias("at"), said.alias("room"))))
+    return messages.groupBy(key).agg(earliest.alias("_f")).select(key, F.coalesce("_f.room", F.lit("hallway")).alias("room"))
