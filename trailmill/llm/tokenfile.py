@@ -34,7 +34,7 @@ from trailmill.operators.ordering import offsets
 from trailmill.shared import new_path, stored
 
 #: Bound of the dictionary's sample: so many documents of so many characters at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4096
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SPARE = 2000, 4096, 16
 DICTIONARY_BYTES, LEVEL = 65536, 3
 #: A file ends after so many bytes of frames, or documents; a longer single document has its own.
 FILE_BYTES, FILE_DOCS = 4_000_000, 16_384
@@ -126,9 +126,11 @@ def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDe
 def train_dictionary(docs: DataFrame, path: str, end: int = END) -> bytes:
     """Bytes of the shared dictionary, from at most SAMPLE_DOCS short documents; empty where there are too few to train on.
 
-    The sample is taken by a hash of id and text, so it is spread over the table; one task trains on it.
+    The sample is taken by a hash of id and text, so it is spread over the table: rows below a hash that SAMPLE_SPARE times the sample should lie below,
+    however many there are, and of them the least; one task trains on it.
     """
-    short = id_and_text(docs).where(F.length("text").between(1, SAMPLE_CHARS))
+    share = min(1.0, SAMPLE_SPARE * SAMPLE_DOCS / max(docs.count(), 1))
+    short = id_and_text(docs).where(F.length("text").between(1, SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))))
     sample = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
 
     def run(batches):
