@@ -238,12 +238,12 @@ def chatter(n=500, seed=8):
     return [*rows, rows[3], (None, None, None), (1, "", "en"), (2, " ".join(["of the new", "york"] * 900), "en")]
 
 
-@pytest.mark.parametrize(("least", "top", "places"), [(10, 2000, 500_000), (10, 7, 40), (3, 50, 900)])
-def test_phrases_against_brute_force(spark, least, top, places):
-    """With few rows a place nearly every word is frequent, so all three kinds of routes are taken."""
+@pytest.mark.parametrize(("least", "top", "places", "fan_out"), [(10, 2000, 500_000, 2048), (10, 7, 400, 8), (3, 50, 900, 2048)])
+def test_phrases_against_brute_force(spark, least, top, places, fan_out):
+    """With few rows a place nearly every word is frequent, so all three kinds of routes are taken; with a small fan-out rows are dealt in several steps."""
     rows = chatter()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.lit("clash")).repartition(3)
-    got = phrases.collocations(df, least=least, top=top, place_rows=places)
+    got = phrases.collocations(df, least=least, top=top, place_rows=places, fan_out=fan_out)
     assert sorted(map(tuple, got.collect())) == slow_phrases(rows, least=least, top=top)
 
 

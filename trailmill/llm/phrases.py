@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import arrow, mix, out, pieces, raw, table
+from trailmill.llm.common import arrow, cut_words, mix, out, pieces, raw, table
 from trailmill.operators.ordering import numbered_within
 from trailmill.shared import stored
 
@@ -44,17 +44,9 @@ LOWER[65:91] += 32
 
 def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     """All words of the texts, the number of piece ends before each, and the text that each is of."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    kind = KIND[data]
-    inside = kind == 0
-    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
-    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    edges = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(ends - starts, out=edges[1:])
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(LOWER[data[inside]])])
-    return words.dictionary_encode(), piece, text
+    words, starts, text = cut_words(texts, KIND > 0, LOWER)
+    ends = np.flatnonzero(KIND[np.frombuffer(b"\n".join(texts), np.uint8)] == 2)
+    return words, np.searchsorted(ends, starts), text
 
 
 def quicksort(keys: list[np.ndarray], weight: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -126,8 +118,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 PLAIN, TRIPLE, PAIR = 0, 1, 2
 #: Bits of the filter of words that are not rare: so many for each such word, within these powers of two. It may pass a rare word, never stop another.
 BITS_A_WORD, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
-#: Routes are dealt to so many bins for each place, so that places are even.
-BINS = 8
+#: Bins that one step deals a block's rows to, a fixed number, so that packed rows grow as the blocks; and bins that a place has at least, so that places are even.
+#: More places than that are reached by another step, which deals each bin's rows again.
+FAN_OUT, BINS = 2048, 4
 
 
 def hashes(by_lang: np.ndarray, by_word: np.ndarray) -> np.ndarray:
@@ -157,17 +150,28 @@ def common_words(words: DataFrame, n: int) -> np.ndarray:
     return cells.view(np.uint64)
 
 
-def routed(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray, bins: int) -> DataFrame:
-    """bin, lang, packed: distinct suffixes of each block with their number, those of one bin and language packed together.
+PACKED = "bin long, lang string, packed binary"
+
+
+def packs(bins: np.ndarray, lang: np.ndarray, langs: pa.Array, routes: np.ndarray, kinds: np.ndarray, n: np.ndarray, said: pa.Array) -> pa.RecordBatch:
+    """Rows in the order of bin and language, as a row for each bin and language."""
+    pressed = zstandard.ZstdCompressor(level=1)
+    starts = np.flatnonzero((np.diff(bins, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+    packed = [pressed.compress(pack(routes[i:j], kinds[i:j], n[i:j], said.slice(i, j - i))) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bins)], strict=True)]
+    return out(arrow(PACKED), bins[starts], langs.take(pa.array(lang[starts])), packed)
+
+
+def routed(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray, fan_out: int, more: bool) -> DataFrame:
+    """bin, lang, packed: distinct suffixes of each block with their number, those of one bin and language packed together. ``more``: whether bins are dealt again, for which rows keep their route.
 
     A rare word can't be in a phrase that counts: a suffix ends before it, and suffixes of one word are left out, since words are counted already.
     """
     sent = docs.sparkSession.sparkContext.broadcast((frequent, common))  # FREQUENT words for each place, and MOST_BITS
 
     def run(batches):
-        to, (often, common) = arrow("bin int, lang string, packed binary"), sent.value
+        often, common = sent.value
         often = {k: pa.array([w.encode() for w in v], pa.binary()) for k, v in often.items()}
-        mask, pressed = np.uint64(64 * len(common) - 1), zstandard.ZstdCompressor(level=1)
+        mask = np.uint64(64 * len(common) - 1)
         for b in pieces(batches, most=BLOCK_BYTES):
             words, piece, text = words_of(texts_of(b))
             known = words.dictionary
@@ -203,27 +207,75 @@ def routed(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray,
             total, pair = np.bincount(which, n[own], len(where)).astype(np.int64), own[where]
             plain = np.flatnonzero((kind == PLAIN) | (three >= 0))  # a hot pair at the end of a piece is in the pair's number
             rows, kinds = np.concatenate([plain, pair]), np.concatenate([kind[plain], np.full(len(pair), PAIR)])
-            to_bin = (np.concatenate([route[plain], pair_route[pair]]) % np.uint64(bins)).astype(np.int64)
+            route = np.concatenate([route[plain], pair_route[pair]])
+            to_bin = (route % np.uint64(fan_out)).astype(np.int64)
             order = np.lexsort((one[rows], lang[rows], to_bin))
             rows, kinds, to_bin, n = rows[order], kinds[order], to_bin[order], np.concatenate([n[plain], total])[order]
             third = np.where(kinds == PAIR, -1, three[rows])
             word = lambda ids: known.take(pa.array(ids, mask=ids < 0))
             said = pc.binary_join_element_wise(word(one[rows]), word(two[rows]), word(third), b" ", null_handling="skip")
-            starts = np.flatnonzero(np.diff(to_bin * len(langs.dictionary) + lang[rows], prepend=-1))
-            packed = [pressed.compress(pack(kinds[i:j], n[i:j], said.slice(i, j - i))) for i, j in zip(starts, [*starts[1:], len(rows)], strict=True)]
-            yield out(to, to_bin[starts].astype(np.int32), langs.dictionary.take(pa.array(lang[rows[starts]])), packed)
+            yield packs(to_bin, lang[rows], langs.dictionary, route[order] // np.uint64(fan_out) if more else NO_ROUTE, kinds, n, said)
+
+    return with_lang(docs).mapInArrow(run, PACKED)
+
+
+NO_ROUTE = np.zeros(0, np.uint64)
 
-    return with_lang(docs).mapInArrow(run, "bin int, lang string, packed binary")
 
+def pack(routes: np.ndarray, kinds: np.ndarray, n: np.ndarray, said: pa.Array) -> bytes:
+    """Routes (or none), kinds, numbers and phrases of rows; no word holds a line end, so that may part the phrases."""
+    return np.array([len(n), len(routes)], np.uint32).tobytes() + routes.tobytes() + kinds.astype(np.uint8).tobytes() + n.astype("<i8").tobytes() + b"\n".join(said.to_pylist())
 
-def pack(kinds: np.ndarray, n: np.ndarray, said: pa.Array) -> bytes:
-    """Kinds, numbers and phrases of rows; no word holds a line end, so that may part the phrases."""
-    return np.uint32(len(n)).tobytes() + kinds.astype(np.uint8).tobytes() + n.astype("<i8").tobytes() + b"\n".join(said.to_pylist())
 
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    m, r = np.frombuffer(data, np.uint32, 2).tolist()
+    at = 8 + 8 * r
+    return np.frombuffer(data, np.uint64, r, 8), np.frombuffer(data, np.uint8, m, at), np.frombuffer(data, "<i8", m, at + m), data[at + 9 * m :]
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    m = int(np.frombuffer(data, np.uint32, 1)[0])
-    return np.frombuffer(data, np.uint8, m, 4), np.frombuffer(data, "<i8", m, 4 + m), data[4 + 9 * m :]
+
+#: Rows that a step deals at once.
+STEP_ROWS = 500_000
+
+
+def dealt_again(binned: DataFrame, fan_out: int, more: bool) -> DataFrame:
+    """The same rows, each bin's dealt to ``fan_out`` bins of its own by what is left of their routes."""
+
+    def run(batches):
+        opened, held, size = zstandard.ZstdDecompressor(), [], 0
+
+        def dealt(some: list) -> pa.RecordBatch:
+            langs = pa.array([x[1] for x in some], pa.string()).dictionary_encode()
+            sizes = [len(x[3]) for x in some]
+            routes, kinds, n = (np.concatenate([x[k] for x in some]) for k in (2, 3, 4))
+            bins = np.repeat([x[0] for x in some], sizes) * fan_out + (routes % np.uint64(fan_out)).astype(np.int64)
+            lang = np.repeat(np.asarray(langs.indices, np.int64), sizes)
+            said = pa.array([w for x in some for w in x[5].split(b"\n")], pa.binary())
+            order = np.lexsort((lang, bins))
+            return packs(bins[order], lang[order], langs.dictionary, routes[order] // np.uint64(fan_out) if more else NO_ROUTE, kinds[order], n[order], said.take(pa.array(order)))
+
+        for b in batches:
+            for k, name, packed in zip(b.column("bin").to_pylist(), b.column("lang").to_pylist(), b.column("packed"), strict=True):
+                held.append((k, name, *unpack(opened.decompress(packed.as_buffer()))))
+                size += len(held[-1][3])
+                if size >= STEP_ROWS:
+                    yield dealt(held)
+                    held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    return binned.mapInArrow(run, PACKED)
+
+
+def at_places(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray, places: int, fan_out: int) -> DataFrame:
+    """lang, packed: all rows of one route in one partition. One step for each power of ``fan_out`` in the places; packed rows grow as the input in each."""
+    steps, reach = 1, fan_out
+    while reach < BINS * places:
+        steps, reach = steps + 1, reach * fan_out
+    got = routed(docs, frequent, common, fan_out, steps > 1)
+    for k in range(1, steps):
+        parts = max(1, places // fan_out**k)  # of a bin, by nothing but chance
+        got = dealt_again(got.repartition(places, "bin", F.pmod(F.xxhash64("packed"), F.lit(parts))), fan_out, k + 1 < steps)
+    return got.repartition(places, "bin").drop("bin")
 
 
 def frequent_phrases(binned: DataFrame, least: int) -> DataFrame:
@@ -234,7 +286,7 @@ def frequent_phrases(binned: DataFrame, least: int) -> DataFrame:
         langs, sizes, kinds, numbers, said, opened = [], [], [], [], [], zstandard.ZstdDecompressor()
         for b in batches:
             for name, packed in zip(b.column("lang").to_pylist(), b.column("packed"), strict=True):
-                k, n, text = unpack(opened.decompress(packed.as_buffer()))
+                _, k, n, text = unpack(opened.decompress(packed.as_buffer()))
                 langs.append(name)
                 sizes.append(len(n))
                 kinds.append(k)
@@ -287,7 +339,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top, wide(left) * wide(right))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSIDE_PERCENT, top: int = TOP, place_rows: int = PLACE_ROWS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSIDE_PERCENT, top: int = TOP, place_rows: int = PLACE_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two or three words."""
     spark = docs.sparkSession
     counted = stored(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "words")
@@ -299,7 +351,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     for r in words.where(F.col("n") >= often).select("lang", "word").collect():  # at most FREQUENT for each place
         frequent.setdefault(r["lang"], []).append(r["word"])
     common = common_words(words, words.count())
-    found = stored(frequent_phrases(routed(docs, frequent, common, BINS * places).repartition(places, "bin").drop("bin"), least), "phrases")
+    found = stored(frequent_phrases(at_places(docs, frequent, common, places, fan_out), least), "phrases")
     pairs = found.where("w3 IS NULL").select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("a").alias("n"))
     ends = look_up(found.withColumn("last", F.coalesce("w3", "w2")), words, ["lang", "w1"], ["lang", "word"], "f1", often)
     ends = look_up(ends, words, ["lang", "last"], ["lang", "word"], "f_last", often)
