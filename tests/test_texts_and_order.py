@@ -265,3 +265,50 @@ def test_stream_over_batches_forgets_and_drops_late_rows(spark):
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 5
     assert sorted((r["rid"], r["turn"], r["kill"]) for r in spark.read.parquet(out).collect()) == [("b", 4, "stuck"), ("c", 3, "loop")]
+
+
+# app rollouts
+
+
+def test_rollouts_are_read_from_their_texts(spark):
+    say = lambda k, t, name, args: (k, t, "assistant", f'<think>[{{"name": "no"}}]</think>[{{"name": "{name}", "parameters": {json.dumps(args)}}}]')
+    back = lambda k, t, text_: (k, t, "user", f"<tool_response>\n{text_}\n</tool_response>")
+    rows = [
+        say("a", 0, "spotify__login", {"password": "secret-1"}), back("a", 1, '{"error": "no"}'),
+        say("a", 2, "supervisor__show_account_passwords", {}), back("a", 3, '[{"password": "secret-1"}]'),
+        say("a", 4, "spotify__login", {"username": "abc", "password": "secret-1"}), back("a", 5, "ok"),
+        say("a", 6, "bogus", {"x": {"type": "string", "y": 1}}), back("a", 7, ""), back("a", 8, "Traceback here"),
+        say("a", 9, "supervisor__complete_task", {"answer": 12}),
+        ("b", 0, "user", "no response"), ("b", 1, "assistant", None), say("b", 2, "spotify__login", {"password": "secret-1"}),
+        ("c", 0, "tool", "<tool_response> unclosed"),
+    ]
+    messages = spark.createDataFrame(rows, "k string, t int, role string, content string")
+    ends = spark.createDataFrame([("a", "Well [then] {", None, "10"), ("b", '```[{"name": "bogus"}]```', "do not DECLINE", None), ("c", None, "x", ""), ("d", '{"name": "supervisor__complete_task", "arguments": {"answer": "Yes, Gold"}}', None, "gold")], "k string, completion string, instruction string, truth string")
+    tools = spark.createDataFrame([("spotify__login",), ("supervisor__show_account_passwords",), ("supervisor__complete_task",)], "tool string")
+    from trailmill.operators import rollouts
+
+    told = rollouts.facts(messages, ends, tools, "k", "t", "role", "content")
+    got = {r["k"]: r.asDict() for r in told.collect()}
+    a, b, c, d = (got[k] for k in "abcd")
+    assert (a["responses"], a["successes"], a["data"], a["calls"], a["repeated"], a["names"]) == (5, 2, 0, 5, 1, 5)
+    assert a["credentials"] and a["placeholder"] and a["schema_args"] and a["password"] and a["acted"] and a["completed"] and not a["final_call"]
+    assert (a["answer"], a["invalid_ratio"], a["form"], a["preamble"]) == ("12", 0.2, 0.0, 0)
+    assert not b["credentials"] and (b["responses"], b["names"], b["invalid_ratio"], b["preamble"]) == (0, 2, 0.5, 4) and b["form"] == pytest.approx(0.16)
+    assert (c["responses"], c["successes"], c["names"], c["final_call"]) == (1, 1, 0, False)
+    assert (d["answer"], d["completed"], d["final_call"]) == ("Yes, Gold", True, True) and d["form"] == pytest.approx(0.7)
+    reward = {r["k"]: r["reward"] for r in rollouts.app_rewards(told, "k").collect()}
+    assert reward["a"] == pytest.approx(0.25 * (1 - 0.2) * 0.8 * 0.2 * 0.3 * 0.0) and reward["d"] == pytest.approx(0.7)
+    assert reward["b"] == pytest.approx(0.05 * 0.5 * 0.5) and reward["c"] == pytest.approx(0.6 * 0.1 * 0.3 * 0.5)
+
+
+def test_word_masks_within_a_budget():
+    from trailmill.operators import scoring
+
+    rng = random.Random(1)
+    for _ in range(30):
+        a, b = ([rng.choice("abcdefg") for _ in range(rng.randrange(40))] for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert scoring.lcs_length(a, b) == scoring.lcs_length(a, b, 0) == table[-1][-1]

@@ -118,30 +118,35 @@ def _loads(text: str):
         return None
 
 
-def _named(got, names: tuple[str, ...]) -> tuple[str, str] | None:
+def _named(got, names: tuple[str, ...]) -> tuple[str, dict] | None:
     """(name, arguments) of a parsed call, or of the first of a list; arguments that are no object count as none."""
     got = got[0] if isinstance(got, list) and got else got
     if not isinstance(got, dict):
         return None
     args = next((got[n] for n in names if n in got), {})
     args = _loads(args) if isinstance(args, str) else args
-    return str(got.get("name", "")), json.dumps(args if isinstance(args, dict) else {}, sort_keys=True)
+    return str(got.get("name", "")), args if isinstance(args, dict) else {}
 
 
-def _tool_call(text: str | None) -> tuple[str | None, str | None]:
-    """(name, arguments as JSON) of a call in an agent's text, wherever it stands: with keyword arguments, else tagged, else the first array of calls, else the first object with a name."""
+def tool_call_parts(text: str | None) -> tuple[str | None, dict]:
+    """(name, arguments) of a call in an agent's text, wherever it stands: with keyword arguments, else tagged, else the first array of calls, else the first object with a name."""
     text = NOISE.sub("", text or "").strip()
     if m := KEYWORD_CALL.search(text):
-        return m[1], json.dumps({k: s if not n else int(n) for k, s, n in KEYWORD.findall(m[2])}, sort_keys=True)
+        return m[1], {k: s if not n else int(n) for k, s, n in KEYWORD.findall(m[2])}
     if m := TAGGED.search(text):
-        return _named(_loads(m[1]), BY_AGENT) or (None, None)
+        return _named(_loads(m[1]), BY_AGENT) or (None, {})
     parts, end = [], 0
     for a, b in balanced(text) if '"name"' in text else ():
         if a >= end and '"name"' in text[a:b] and (got := _loads(text[a:b])) is not None:
             parts.append(got)
             end = b  # what lies inside of a parsed part is not looked at again
     calls = [p for p in parts if isinstance(p, list) and p and isinstance(p[0], dict) and "name" in p[0]] + [p for p in parts if isinstance(p, dict) and "name" in p]
-    return _named(calls[0], BY_AGENT) if calls else (None, None)
+    return _named(calls[0], BY_AGENT) if calls else (None, {})
+
+
+def _tool_call(text: str | None) -> tuple[str | None, str | None]:
+    name, args = tool_call_parts(text)
+    return name, None if name is None else json.dumps(args, sort_keys=True)
 
 
 def _demo_call(text: str | None) -> tuple[str | None, str | None]:
@@ -150,7 +155,8 @@ def _demo_call(text: str | None) -> tuple[str | None, str | None]:
     got = _loads(text.strip())
     got = got[0] if isinstance(got, list) and got else got
     if isinstance(got, dict) and "name" in got:
-        return _named(got, BY_DEMO)
+        name, args = _named(got, BY_DEMO)
+        return name, json.dumps(args, sort_keys=True)
     if not (m := re.search(r'"name"\s*:\s*"([^"]+)"', text)):
         return None, "{}"
     args = re.search(r'"(?:parameters|arguments)"\s*:\s*(\{[^}]*\})', text, re.DOTALL)

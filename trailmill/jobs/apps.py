@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import jsonx
 from trailmill.jobs.common import table
-from trailmill.operators import apps
+from trailmill.operators import apps, rollouts
 
 #: The tools that an order's call may name, by order key; the last two are in no catalogue.
 TOOLS = ["spotify__show_album", "venmo__show_transactions", "spotify__login", "venmo__login", "phone__login", "simple_note__show_note", "file_system__show_directory", "spotify__fly", "none"]
@@ -82,12 +82,78 @@ def app_signatures(spark, sf_dir):
     return apps.signatures(p.withColumn("place", F.col("parameter")))
 
 
-QUERIES = {f.__name__: f for f in (app_logins, app_call_errors, app_return_keys, app_placeholders, app_signatures)}
+#: A customer's orders, oldest first, as the calls of a rollout, by order key; the name after the comma is in no catalogue.
+STEPS = ["supervisor__show_account_passwords", "spotify__login", "spotify__show_album", "spotify__like_song", "bogus__tool", "spotify__show_album"]
+
+
+def _rollouts(spark, sf_dir):
+    """Messages (two for each order), and the end of each customer's rollout."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind, word = k % 6, F.concat(F.lit("pw-"), _s(c), F.lit("-x"))
+    args = (
+        F.when(kind == 1, F.concat(F.lit('{"username": "u", "password": "'), F.when(k % 4 != 0, word).otherwise(F.lit("your_password")), F.lit('"}')))
+        .when(kind == 2, F.concat(F.lit('{"album_id": '), _s(k % 3), F.lit("}")))
+        .when(kind == 3, F.lit('{"song_id": 5}'))
+        .when(kind == 5, F.lit('{"album_id": {"type": "integer"}}'))
+        .otherwise(F.lit("{}"))
+    )
+    call = F.concat(F.lit('[{"name": "'), F.get(F.array(*map(F.lit, STEPS)), kind.cast("int")), F.lit('", "parameters": '), args, F.lit("}]"))
+    reply = (
+        F.when(kind == 0, F.concat(F.lit('[{"app": "spotify", "username": "u", "password": "'), word, F.lit('", "note": "of this customer only"}]')))
+        .when(kind == 1, F.lit('{"access_token": "t"}'))
+        .when(kind == 2, F.when(F.col("o_orderstatus") == "P", '{"error": 1}').otherwise('{"id": 1}'))
+        .when(kind == 3, F.lit("ok"))
+        .when(kind == 4, F.lit('{"ERROR": "no such tool"}'))
+        .otherwise(F.lit(""))
+    )
+    two = F.array(F.struct((2 * k).alias("turn"), F.lit("assistant").alias("role"), call.alias("content")), F.struct((2 * k + 1).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("<tool_response>\n"), reply, F.lit("\n</tool_response>")).alias("content")))
+    messages = table(spark, sf_dir, "orders").select("o_custkey", F.explode(two).alias("m")).select("o_custkey", "m.*")
+    n = F.col("c_custkey") % 5
+    done = lambda name, answer: F.lit(f'{{"name": "supervisor__complete_task", "{name}": {{"answer": "{answer}"}}}}')
+    completion = (
+        F.when(n == 0, F.lit("I give up"))
+        .when(n == 1, F.concat(F.lit("<think>so</think>["), done("parameters", "42 or 12"), F.lit("]")))
+        .when(n == 2, F.concat(F.repeat(F.lit("well "), F.lit(12)), F.lit('{"name": "spotify__show_album", "arguments": {}}')))
+        .when(n == 3, F.concat(F.lit("<tool_call>"), done("arguments", "about 9"), F.lit("</tool_call>")))
+        .otherwise(done("parameters", "it is gold"))
+    )
+    truth = F.when(F.col("c_custkey") % 3 == 1, "10").when(F.col("c_custkey") % 3 == 2, "Gold")
+    instruction = F.when(F.col("c_custkey") % 7 == 0, "Please Unfollow them").when(F.col("c_custkey") % 7 == 1, "delete it").otherwise("play")
+    return messages, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), completion.alias("completion"), instruction.alias("instruction"), truth.alias("truth"))
+
+
+def app_rollout_rewards(spark, sf_dir):
+    """The reward of each customer's rollout, all of it read from texts: calls, responses, credentials, the last answer."""
+    messages, ends = _rollouts(spark, sf_dir)
+    known = spark.createDataFrame([(t,) for t in {*STEPS, "supervisor__complete_task"} - {"bogus__tool"}], "tool string")
+    told = rollouts.facts(messages, ends, known, "o_custkey", "turn", "role", "content")
+    return rollouts.app_rewards(told, "o_custkey").select("o_custkey", F.round("reward", 9).alias("reward"))
+
+
+QUERIES = {f.__name__: f for f in (app_rollout_rewards, app_logins, app_call_errors, app_return_keys, app_placeholders, app_signatures)}
 
 CALLS = """
 c AS (SELECT o_orderkey AS k, o_custkey, ['spotify__show_album', 'venmo__show_transactions', 'spotify__login', 'venmo__login', 'phone__login', 'simple_note__show_note', 'file_system__show_directory', 'spotify__fly', 'none'][o_orderkey % 9 + 1] AS tool FROM orders)"""
 
 ORACLE_SQL = {
+    "app_rollout_rewards": """
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 6 AS kind, o_orderstatus AS st, CASE o_orderkey % 6 WHEN 1 THEN 'l' || (o_orderkey % 4 <> 0) WHEN 2 THEN 'a' || o_orderkey % 3 ELSE 'k' || o_orderkey % 6 END AS sig FROM orders),
+p AS (SELECT c, min(k) FILTER (kind = 0) AS first FROM o GROUP BY c),
+a AS (SELECT o.c, count(*) AS n, count(*) FILTER (kind IN (0, 1, 3) OR kind = 2 AND st <> 'P') AS ok, count(*) FILTER (kind = 0 OR kind = 2 AND st <> 'P') AS data, count(*) - count(DISTINCT sig) AS rep,
+  bool_or(kind = 1 AND k % 4 <> 0 AND coalesce(k > first, false)) AS real, bool_or(kind = 1 AND k % 4 = 0 OR kind = 5) AS made, bool_or(kind = 5) AS typed, count(*) FILTER (kind = 4) AS wrong, bool_or(kind = 0) AS pw, bool_or(kind IN (3, 4)) AS acted, bool_or(kind = 3) AS liked
+  FROM o JOIN p ON p.c = o.c GROUP BY o.c),
+r AS (SELECT c_custkey AS c, c_custkey % 5 AS e, c_custkey % 3 AS q, c_custkey % 7 AS i, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(ok, 0) AS ok, coalesce(data, 0) AS data, coalesce(rep, 0) AS rep, coalesce(real, false) AS real, coalesce(made, false) AS made, coalesce(typed, false) AS typed,
+  coalesce(wrong, 0) AS wrong, coalesce(pw, false) AS pw, coalesce(acted, false) AS acted, coalesce(liked, false) AS liked FROM customer LEFT JOIN a ON a.c = c_custkey),
+s AS (SELECT *, e IN (1, 3, 4) AS done, e <> 0 AS final, n + CASE WHEN e <> 0 THEN 1 ELSE 0 END AS names, CASE e WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0.7::DOUBLE * 0.4::DOUBLE WHEN 3 THEN 0.4::DOUBLE * 0.7::DOUBLE * 0.4::DOUBLE ELSE 1 END AS form FROM r),
+f AS (SELECT *, greatest(0.1::DOUBLE, 1 - wrong / greatest(names, 1)) AS valid, CASE WHEN NOT pw AND n > 0 THEN 0.1::DOUBLE ELSE 1 END AS fw, CASE WHEN made THEN 0.2::DOUBLE ELSE 1 END AS fp, CASE WHEN typed THEN 0.3::DOUBLE ELSE 1 END AS ft FROM s),
+qs AS (SELECT *, CASE WHEN NOT done THEN CASE WHEN data > 0 THEN 0.15::DOUBLE WHEN n > 0 OR final THEN 0.03::DOUBLE ELSE 0 END
+    WHEN q = 2 AND e = 4 THEN 1
+    WHEN q = 1 THEN greatest(CASE e WHEN 1 THEN 0.2::DOUBLE WHEN 3 THEN 0.225::DOUBLE ELSE 0 END, CASE WHEN data > 0 THEN 0.15::DOUBLE ELSE 0 END)
+    ELSE CASE WHEN data > 0 THEN 0.15::DOUBLE WHEN ok > 0 THEN 0.08::DOUBLE ELSE 0.03::DOUBLE END END * valid * fw * fp * ft * CASE WHEN done THEN form ELSE 1 END AS question,
+  CASE WHEN n > 0 THEN 0.6::DOUBLE * ok / n + CASE WHEN data > 0 THEN 0.1::DOUBLE ELSE 0 END ELSE 0.05::DOUBLE END * CASE WHEN n > 2 AND rep / n > 0.5 THEN 0.5::DOUBLE ELSE 1 END * fw + CASE WHEN real THEN 0.2::DOUBLE ELSE 0 END AS r0 FROM f),
+r1 AS (SELECT *, r0 * fp * ft * valid * CASE WHEN done OR n = 0 THEN 1 WHEN NOT final THEN 0.3::DOUBLE WHEN e = 2 THEN 0.5::DOUBLE ELSE 1 END AS r1 FROM qs),
+r2 AS (SELECT *, CASE WHEN done THEN r1 + CASE WHEN acted AND ok > 0 THEN 0.3::DOUBLE WHEN ok > 0 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END ELSE r1 * CASE WHEN acted AND names >= 8 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END END * CASE WHEN i <= 1 AND liked THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN done THEN form ELSE 1 END AS act FROM r1)
+SELECT c AS o_custkey, round(CASE WHEN q > 0 THEN least(question, 1) WHEN n = 0 AND NOT final THEN 0 ELSE least(act, 1) END, 9) AS reward FROM r2""",
     "app_logins": f"""WITH {CALLS}
 SELECT k AS o_orderkey, string_split(tool, '__')[1] AS app, 'login' AS api, tool = 'phone__login' OR k % 4 <> 0 AS accepted, CAST(2 AS BIGINT) AS n_known, CAST(3 AS BIGINT) AS n_listed FROM c WHERE tool LIKE '%__login'""",
     "app_call_errors": f"""WITH {CALLS}

@@ -46,14 +46,15 @@ def nearest_number(text: Column, truth: Column) -> Column:
     return F.get(ranked, F.lit(0))["n"]
 
 
-def app_question(completed: Column, contained: Column, numeric: Column, value: Column, truth: Column, has_data: Column, has_call: Column) -> Column:
-    """Credit for an answer before the factors: 1 if it is contained, by nearness for numbers, less for data seen only."""
+def app_question(completed: Column, contained: Column, numeric: Column, value: Column, truth: Column, has_data: Column, has_call: Column, has_success: Column | None = None) -> Column:
+    """Credit for an answer before the factors: 1 if it is contained, by nearness for numbers, less for data seen only, and for words still less without a success (none given: there is one)."""
     seen = F.when(has_data, 0.15)
+    worded = seen.otherwise(0.08) if has_success is None else seen.when(has_success, 0.08).when(has_call, 0.03).otherwise(0.0)
     return (
         F.when(~completed, seen.when(has_call, 0.03).otherwise(0.0))
         .when(contained, 1.0)
         .when(numeric, F.greatest(F.coalesce(number_credit(value, truth), F.lit(0.0)), seen.otherwise(0.0)))
-        .otherwise(seen.otherwise(0.08))
+        .otherwise(worded)
     )
 
 
@@ -66,7 +67,9 @@ def app_factors(r: Column, invalid_ratio: Column, used_password: Column, placeho
 
 def app_action(c: dict[str, Column]) -> Column:
     """An action task. ``c``: calls, repeated, responses, successes, data, password, credentials, placeholder, schema_args,
-    invalid_ratio, completed, final_call, preamble, acted, mismatch, form."""
+    invalid_ratio, completed, final_call, preamble, acted, mismatch, form; and where they are not the same as calls, names (how many tools were named) and called
+    (whether anything was)."""
+    names, called = c.get("names", c["calls"]), c.get("called", c["calls"] > 0)
     has, done, success = c["responses"] > 0, c["completed"], c["successes"] > 0
 
     def factor(condition: Column, by) -> Column:
@@ -77,6 +80,6 @@ def app_action(c: dict[str, Column]) -> Column:
     r = r + F.when(c["credentials"], 0.2).otherwise(0.0)
     r = r * factor(c["placeholder"], 0.2) * factor(c["schema_args"], 0.3) * F.greatest(F.lit(0.1), 1.0 - c["invalid_ratio"])
     r = r * factor(~done & has, F.when(~c["final_call"], 0.3).when(c["preamble"] > 50, 0.5).otherwise(1.0))
-    r = r * factor(~done, F.when(c["acted"] & (c["calls"] >= 8), 0.7).otherwise(0.5)) + F.when(done, F.when(c["acted"] & success, 0.3).when(success, 0.1).otherwise(0.05)).otherwise(0.0)
+    r = r * factor(~done, F.when(c["acted"] & (names >= 8), 0.7).otherwise(0.5)) + F.when(done, F.when(c["acted"] & success, 0.3).when(success, 0.1).otherwise(0.05)).otherwise(0.0)
     r = r * factor(c["mismatch"], 0.3) * factor(done, c["form"])
-    return F.when(c["calls"] == 0, 0.0).otherwise(F.least(r, F.lit(1.0)))
+    return F.when(~called, 0.0).otherwise(F.least(r, F.lit(1.0)))
