@@ -75,13 +75,19 @@ def demo_flags(spark, sf_dir):
     return tasks.demo_flags(said, "conv_id", "text")
 
 
+def event_commands(spark, sf_dir):
+    """What each user did, each kind once, in the order in which it first came."""
+    own = tasks.distinct_in_order(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return own.select("user_id", F.array_join("values", ",").alias("commands"))
+
+
 def winners(spark, sf_dir):
     """Orders as episodes with a score: those that won, and those of a full score."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("won"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") % 120).alias("score"))
     return tasks.winning(o, "won", "score").select("o_orderkey", "winning", "perfect").where("winning OR perfect")
 
 
-QUERIES = {f.__name__: f for f in (folder_tasks, folder_skipped, folder_configs, sink_counts, sink_summary, demo_flags, winners)}
+QUERIES = {f.__name__: f for f in (folder_tasks, folder_skipped, folder_configs, sink_counts, sink_summary, demo_flags, event_commands, winners)}
 
 ORACLE_SQL = {
     "folder_tasks": """
@@ -98,6 +104,8 @@ WITH s AS (SELECT lang, count(*) FILTER (quality = 1) AS n_won, count(*) AS n FR
 SELECT '[' || chr(10) || string_agg('  {' || chr(10) || '    "lang": "' || lang || '",' || chr(10) || '    "n_won": ' || n_won || ',' || chr(10) || '    "n": ' || n || chr(10) || '  }', ',' || chr(10) ORDER BY lang) || chr(10) || ']' AS summary FROM s""",
     "demo_flags": """
 SELECT conv_id, conv_id % 3 = 0 AS asks_passwords, bool_or(turn = conv_id % 5) AS completes, conv_id % 4 = 0 AS pages, conv_id % 3 = 0 AND bool_or(turn = conv_id % 5) AS complete_demo FROM conversations GROUP BY conv_id""",
+    "event_commands": """
+WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS commands FROM f GROUP BY user_id""",
     "winners": """
 WITH o AS (SELECT o_orderkey, o_orderstatus = 'F' AS winning, coalesce(o_orderkey % 7 > 0 AND o_orderkey % 120 >= 100, false) AS perfect FROM orders) SELECT * FROM o WHERE winning OR perfect""",
 }

@@ -54,3 +54,9 @@ def first_room(messages: DataFrame, key: str, turn: str, role: str, content: str
     said = F.when((F.col(role) == "user") & F.col(content).rlike(text.NAMED), F.lower(text.strip(F.regexp_extract(content, text.NAMED, 1))))
     earliest = F.min(F.when(said.isNotNull(), F.struct(F.col(turn).alias("at"), said.alias("room"))))
     return messages.groupBy(key).agg(earliest.alias("_f")).select(key, F.coalesce("_f.room", F.lit("hallway")).alias("room"))
+
+
+def distinct_in_order(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key, values: the distinct values of a key in the order in which each first came (nulls are none). Firsts are minima, partly before the shuffle, so a key gathers its distinct values only."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("_first"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda s: s[value]).alias("values"))
