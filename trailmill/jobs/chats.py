@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import demo_action, observation, science_action, strip_tags
+from trailmill.functions.text import demo_action, header, observation, parse_action, science_action, strip_tags
 from trailmill.jobs.common import table
-from trailmill.operators import chat, trajectory
+from trailmill.operators import chat, rewards, trajectory
+from trailmill.shared import new_path
 from trailmill.sources import chat_jsonl
 
 #: Old and new names for the migration job, as they occur in the texts of the tables.
@@ -109,7 +110,40 @@ def clean_demo_actions(spark, sf_dir):
     return _wrapped(spark, sf_dir, cases).select("conv_id", "turn", demo_action(F.col("raw")).alias("action"))
 
 
-QUERIES = {f.__name__: f for f in (chat_prompt_reference, chat_merge_system, chat_jsonl_counters, chat_string_decode, chat_user_turns, chat_preceding_assistant, chat_first_seen, chat_last_answer, chat_migrate, chat_residual_names, chat_response_classes, text_strip_tags, clean_observations, clean_science_actions, clean_demo_actions)}
+def chat_few_shot(spark, sf_dir):
+    """Each chat's turns as examples between a system text and a question, and what of it a world model is sent."""
+    chats = chat.gather(table(spark, sf_dir, "conversations"))
+    built = chats.select("conv_id", chat.few_shot(F.lit("You are a world."), F.col("messages"), F.concat(F.lit("And chat "), F.col("conv_id").cast("string"), F.lit("?"))).alias("all"))
+    said = lambda m: F.md5(F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n"))
+    sent = chat.for_model(F.col("all"))
+    return built.select("conv_id", F.size("all").cast("long").alias("n_all"), F.size(sent).cast("long").alias("n_sent"), said(F.col("all")).alias("all_md5"), said(sent).alias("sent_md5"))
+
+
+def chat_log(spark, sf_dir):
+    """Turns appended to a log in two writes, each with its observation cut to a fixed length, and read back."""
+    path = new_path(spark, "log")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rid"), "turn", F.col("role").alias("action"), F.col("text").alias("obs"), (F.col("turn") % 2 == 0).alias("won"), F.lit("test").alias("via"))
+    for part in (0, 1):
+        chat_jsonl.append_log(rows.where(F.pmod("rid", F.lit(2)) == part), path)
+    back = spark.read.schema("rid bigint, turn bigint, action string, obs string, won boolean, via string").json(path)
+    return back.select(F.col("rid").alias("conv_id"), "turn", F.length("obs").cast("long").alias("n_obs"), F.md5("obs").alias("obs_md5"), "won")
+
+
+def chat_headers(spark, sf_dir):
+    """Header lines of a prompt made of a document's facts: task, date (blank for some), and one that stands inside of a line."""
+    prompt = F.concat(F.lit("Intro\nTask type: "), F.col("lang"), F.lit("-"), F.col("source"), F.lit("  \nCurrent date:"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" 2024-01-"), F.col("doc_id").cast("string"))).otherwise(""), F.lit("\nno Goal: x\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(header(prompt, h), F.lit("none")).alias(n) for h, n in (("Task type", "task"), ("Current date", "date"), ("Goal", "goal"))))
+
+
+def chat_form(spark, sf_dir):
+    """The factor for how an assistant turn gives its action: none, after many characters, or well."""
+    said = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.concat(F.repeat(F.lit("well "), (F.col("conv_id") % 12).cast("int")), F.lit("Action: look"))).otherwise(F.lit("Action: look"))
+    action = F.when(said != "", parse_action(said))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", rewards.household_form(action, F.substring_index(said, "Action:", 1)).alias("form"))
+
+
+QUERIES = {f.__name__: f for f in (chat_few_shot, chat_log, chat_headers, chat_form, chat_prompt_reference, chat_merge_system, chat_jsonl_counters, chat_string_decode, chat_user_turns, chat_preceding_assistant, chat_first_seen, chat_last_answer, chat_migrate, chat_residual_names, chat_response_classes, text_strip_tags, clean_observations, clean_science_actions, clean_demo_actions)}
 
 MOVED = "CASE WHEN role <> 'user' THEN replace(replace(replace(text, 'the ', 'THE_'), 'der ', 'DER_'), 'que ', 'QUE_') ELSE text END"
 WRAPPED = "CASE doc_id % 3 WHEN 0 THEN '<think>plan</think> ' || text WHEN 1 THEN 'pre<tool_response>' || chr(10) || ' ' || text || ' ' || chr(10) || '</tool_response>post' ELSE '</think> ' || text END"
@@ -118,6 +152,12 @@ TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 LINE = TRIM.format(f"split_part({TRIM.format("coalesce(text, '')")}, chr(10), 1)")
 
 ORACLE_SQL = {
+    "chat_few_shot": """
+SELECT conv_id, count(*) + 2 AS n_all, count(*) FILTER (role IN ('user', 'assistant', 'tool')) + 1 AS n_sent, md5('system:You are a world.' || chr(10) || string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10) || 'user:And chat ' || conv_id || '?') AS all_md5,
+  md5(concat_ws(chr(10), string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (role IN ('user', 'assistant', 'tool')), 'user:And chat ' || conv_id || '?')) AS sent_md5 FROM conversations GROUP BY conv_id""",
+    "chat_log": "SELECT conv_id, turn, length(left(text, 240)) AS n_obs, md5(left(text, 240)) AS obs_md5, turn % 2 = 0 AS won FROM conversations",
+    "chat_headers": "SELECT doc_id, lang || '-' || source AS task, CASE WHEN doc_id % 3 > 0 THEN '2024-01-' || doc_id ELSE 'none' END AS date, 'none' AS goal FROM documents",
+    "chat_form": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0.3::DOUBLE WHEN turn % 3 = 1 AND conv_id % 12 * 5 > 32 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS form FROM conversations WHERE role = 'assistant'",
     "chat_prompt_reference": """
 WITH r AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT conv_id, count(*) FILTER (turn < last) AS n_prompt, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (turn < last)) AS prompt_md5, md5(max(text) FILTER (turn = last)) AS reference_md5
