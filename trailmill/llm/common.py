@@ -23,12 +23,27 @@ BATCH_BYTES = 2_000_000
 ROWS_AT_ONCE = 4096
 
 
+#: Arrow's own pool keeps what a task frees; the system's gives it back, as workers live from stage to stage.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Bytes of an Arrow batch between Spark and its Python workers (a longer single row stands alone): both sides hold several batches at once beside the heap.
+ARROW_BATCH = "8m"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are bounded by ARROW_BATCH from now on."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return docs
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns named, so that scans read nothing else."""
+    small_batches(docs)
     return docs.select("doc_id", *more, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

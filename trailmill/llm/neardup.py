@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from trailmill.llm.common import WordTable, arrow, id_and_text, mix, out, pieces, stored, table, windows, word_hashes
 from trailmill.llm.components import components
+from trailmill.operators.ordering import free
 
 WORDS, SIMILAR = 5, 0.8
 #: 32 bands of 8 registers: of pairs at 0.8, 997 of 1000 share a band; links within a class make up for the rest.
@@ -252,10 +253,15 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Rows without doc_id stay as they are: nothing says which document they are of, so they are neither compared nor dropped.
     """
+    rows = free("_rows", docs.columns)
     kept = classes(docs, least).where("doc_id = class_id").select("doc_id")
+    counted = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias(rows)).join(kept, "doc_id")
+    own = docs.join(counted, "doc_id")
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = F.min_by(every, F.struct(F.coalesce("text", F.lit("")), F.to_json(every)))
-    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    first = F.min_by(every, F.struct(F.coalesce("text", F.lit("")), F.to_json(every)))  # whole rows are compared only where an id has several
+    several = own.where(F.col(rows) > 1).groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return own.where(F.col(rows) == 1).select(*columns).unionByName(several).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import arrow, flat, id_and_text, out, pieces, raw, table
+from trailmill.llm.common import arrow, flat, id_and_text, out, pieces, raw, small_batches, table
 
 #: Fixed patterns; letters of `assign` in either case.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -215,7 +215,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, mark: bytes = b"[SECRET]") -> Dat
                 columns["n_chars"] = pa.array([len(t) for t in done], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
