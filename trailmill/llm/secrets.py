@@ -6,7 +6,8 @@ the fixed patterns find, with random strings of common key alphabets, against th
 characters in a bounded sample of rows (less those that could be either). In each run of such characters, less what the fixed
 patterns cover, the whole, or else the part with the highest sum of log-likelihood ratios, is a `random` span if it has 16 or more
 characters, its ratio is high in sum and by character, and it has ``LEAST_DISTINCT`` different characters of two kinds (digits, small and
-capital letters); then what is left of the run on both sides is searched. So a key is found where / _ - or = join it to ordinary text.
+capital letters); a part that fails is searched inside, at a charge for each character, and what is left of the run on both sides too. So a key is found where / _ - or = join it
+to ordinary text or to other keys. Keys of one kind of character (small letters only) are never found.
 The fixed patterns' own spans always stay.
 
 Null or empty text: no spans, the digest of the empty list. Every text is scanned whole; ties at one
@@ -83,26 +84,39 @@ def telling(run: bytes, gain: float, whole: bool) -> bool:
     return len(run) >= LEAST_RUN and gain >= LEAST_RATIO and gain >= mean * (len(run) - 1) and len(set(run)) >= LEAST_DISTINCT and small + capital + digit >= 2
 
 
+#: What a character is charged while the best part of a run is looked for, step by step: at no charge a part may hold several keys and the words between.
+CHARGES = (0.0, 0.6, 1.0, 1.4, 1.8, 2.2, 2.6, 3.0)
+
+
 def likely(text: bytes, part: tuple[int, int], ratio: np.ndarray) -> list[tuple[int, int]]:
-    """The spans within one part of a run that are likelier random strings than ordinary ones."""
-    found, left = [], [part]
+    """The spans within one part of a run that are likelier random strings than ordinary ones.
+
+    The part with the highest sum of ratios less the charge is taken if it is telling; else it is searched again inside, at the next charge; what is left
+    on both sides is searched at the same one. A part whose best sum is below what any telling span has at that charge holds none.
+    """
+    found, left = [], [(*part, 0)]
+    code = CODE[np.frombuffer(text, np.uint8, part[1] - part[0], part[0])]
+    step = ratio[code[:-1], code[1:]]
     while left:
-        a, b = left.pop()
+        a, b, level = left.pop()
         if b - a < LEAST_RUN:
             continue
-        code = CODE[np.frombuffer(text, np.uint8, b - a, a)]
-        gain = np.concatenate([[0.0], np.cumsum(ratio[code[:-1], code[1:]])])
-        rise = gain - np.minimum.accumulate(gain)
-        last = int(rise.argmax())
-        first = int(gain[: last + 1].argmin())
-        if rise[last] < LEAST_RATIO:
-            continue
-        if telling(text[a:b], gain[-1], (a, b) == part):
+        own = step[a - part[0] : b - part[0] - 1]
+        gain = np.concatenate([[0.0], np.cumsum(own)])
+        if (a, b) == part and level == 0 and telling(text[a:b], gain[-1], True):
             found.append((a, b))
             continue
-        if telling(text[a + first : a + last + 1], rise[last], False):
+        charged = gain - CHARGES[level] * np.arange(len(gain))
+        rise = charged - np.minimum.accumulate(charged)
+        last = int(rise.argmax())
+        if rise[last] < (CLEAR_MEAN - CHARGES[level]) * (LEAST_RUN - 1):
+            continue
+        first = int(charged[: last + 1].argmin())
+        if telling(text[a + first : a + last + 1], gain[last] - gain[first], False):
             found.append((a + first, a + last + 1))
-        left += [(a, a + first), (a + last + 1, b)]
+        elif level + 1 < len(CHARGES):
+            left.append((a + first, a + last + 1, level + 1))
+        left += [(a, a + first, level), (a + last + 1, b, level)]
     return found
 
 
