@@ -76,22 +76,25 @@ def flat(texts: list[bytes], pad: bytes = b" ") -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(joined, np.uint8), starts
 
 
-def cut_words(texts: list[bytes], apart: np.ndarray, as_: np.ndarray, cut: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """All words of the texts as a dictionary array, where each begins in the texts joined by line ends, and the text that each is of.
+def cut_words(texts: list[bytes], apart: np.ndarray, as_: np.ndarray, cut: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts as a dictionary array, where each begins in the texts joined by line ends, the text that each is of, and the joined bytes.
 
     ``apart``: whether a byte stands between words; ``as_``: what a byte of a word is taken for; ``cut(bytes)``: where a word begins although no byte stands between.
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)
     inside = ~apart[data]
+    inside[-1] = False  # the last line end
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     if cut is not None:
         begins |= inside & cut(data)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
     starts = np.flatnonzero(begins)
-    place = np.cumsum(inside)  # of a byte among those of words, from 1
-    edges = np.append(place[starts] - 1, place[-1]).astype(np.int32)
+    edges = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(ends) + 1 - starts, out=edges[1:])
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(as_[data[inside]])])
-    return words.dictionary_encode(), starts, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    return words.dictionary_encode(), starts, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))), data
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

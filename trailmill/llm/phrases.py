@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import arrow, cut_words, mix, out, pieces, raw, table
+from trailmill.llm.common import arrow, cut_words, mix, out, pieces, raw, small_batches, table
 from trailmill.operators.ordering import numbered_within
 from trailmill.shared import stored
 
@@ -38,15 +38,15 @@ BLOCK_BYTES, PLACE_ROWS, FREQUENT = 4_000_000, 500_000, 8
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
+ENDS = KIND == 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
 def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     """All words of the texts, the number of piece ends before each, and the text that each is of."""
-    words, starts, text = cut_words(texts, KIND > 0, LOWER)
-    ends = np.flatnonzero(KIND[np.frombuffer(b"\n".join(texts), np.uint8)] == 2)
-    return words, np.searchsorted(ends, starts), text
+    words, starts, text, data = cut_words(texts, KIND > 0, LOWER)
+    return words, np.searchsorted(np.flatnonzero(ENDS[data]), starts), text
 
 
 def quicksort(keys: list[np.ndarray], weight: np.ndarray, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -56,40 +56,42 @@ def quicksort(keys: list[np.ndarray], weight: np.ndarray, least: int = 1) -> Ite
     sum of their weights. Partitions below ``least`` are abandoned, whether equal or not yet told apart. All partitions
     of a depth take a step together: a pivot each, and three groups, of which the equal one is done; no order between groups is kept, since only equality counts.
     """
-    active, group, n_groups = np.arange(len(weight)), np.zeros(len(weight), np.int64), 1
+    active, group, n_groups = np.arange(len(weight), dtype=np.int32), np.zeros(len(weight), np.int32), 1
+    heavy = None if (weight == 1).all() else weight
     for depth, key in enumerate(keys):
-        done, done_group, n_done = [], [], 0
+        done, done_group, n_done, sizes = [], [], 0, np.bincount(group, minlength=n_groups)
         while len(active):
-            edges = np.searchsorted(group, np.arange(n_groups + 1))
+            edges = np.concatenate([[0], np.cumsum(sizes)])
             own = key[active]
             a, b, c = own[edges[:-1]], own[(edges[:-1] + edges[1:]) // 2], own[edges[1:] - 1]
             pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))  # the median of three
-            own = own - pivot[group]
-            equal = own == 0
+            pivot = np.repeat(pivot, sizes)
+            below, above = own < pivot, own > pivot
+            equal = ~(below | above)
             done.append(active[equal])
-            done_group.append(group[equal] + n_done)
+            done_group.append(group[equal] + np.int32(n_done))
             n_done += n_groups
-            below, above = own < 0, own > 0
-            active, group = np.concatenate([active[below], active[above]]), np.concatenate([group[below], group[above] + n_groups])
-            active, group, n_groups, _ = _kept(active, group, 2 * n_groups, weight, least)
-        active, group = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done, done_group))
-        active, group, n_groups, sizes = _kept(active, group, n_done, weight, least)
-        yield depth, active, np.searchsorted(group, np.arange(n_groups + 1)), sizes
-
-
-def _kept(active: np.ndarray, group: np.ndarray, n: int, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """Without the groups below ``least`` (and empty ones); the others numbered anew, in order."""
-    sizes = np.bincount(group, weight[active], n)
-    stays = sizes >= max(least, 1)
-    again = np.cumsum(stays) - 1
+            active, group = np.concatenate([active[below], active[above]]), np.concatenate([group[below], group[above] + np.int32(n_groups)])
+            active, group, n_groups, sizes, _ = _kept(active, group, 2 * n_groups, heavy, least)
+        active, group = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (done, done_group))
+        active, group, n_groups, sizes, weights = _kept(active, group, n_done, heavy, least)
+        yield depth, active, np.concatenate([[0], np.cumsum(sizes)]), weights
+
+
+def _kept(active: np.ndarray, group: np.ndarray, n: int, weight: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """Without the groups below ``least`` (and empty ones), which lie one after the other in the order of their numbers; the others numbered anew, with their numbers of pointers and their weights. No weight: each counts once."""
+    sizes = np.bincount(group, minlength=n)
+    weights = sizes if weight is None else np.bincount(group, weight[active], n).astype(np.int64)
+    stays = weights >= max(least, 1)
     if not stays.all():
-        held = stays[group]
+        held = np.repeat(stays, sizes)
+        again = (np.cumsum(stays) - 1).astype(np.int32)
         active, group = active[held], again[group[held]]
-    return active, group, int(stays.sum()), sizes[stays].astype(np.int64)
+    return active, group, int(stays.sum()), sizes[stays], weights[stays]
 
 
 def with_lang(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return small_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -157,7 +159,10 @@ def packs(bins: np.ndarray, lang: np.ndarray, langs: pa.Array, routes: np.ndarra
     """Rows in the order of bin and language, as a row for each bin and language."""
     pressed = zstandard.ZstdCompressor(level=1)
     starts = np.flatnonzero((np.diff(bins, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
-    packed = [pressed.compress(pack(routes[i:j], kinds[i:j], n[i:j], said.slice(i, j - i))) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bins)], strict=True)]
+    lines = pc.binary_join_element_wise(said, b"", b"\n")  # a line end after each, so a range of rows is a range of bytes
+    at, data = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1, 4 * lines.offset), memoryview(lines.buffers()[2])
+    kinds, n = kinds.astype(np.uint8), n.astype("<i8")
+    packed = [pressed.compress(pack(routes[i:j], kinds[i:j], n[i:j], data[at[i] : at[j] - 1])) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bins)], strict=True)]
     return out(arrow(PACKED), bins[starts], langs.take(pa.array(lang[starts])), packed)
 
 
@@ -222,9 +227,9 @@ def routed(docs: DataFrame, frequent: dict[str, list[str]], common: np.ndarray,
 NO_ROUTE = np.zeros(0, np.uint64)
 
 
-def pack(routes: np.ndarray, kinds: np.ndarray, n: np.ndarray, said: pa.Array) -> bytes:
+def pack(routes: np.ndarray, kinds: np.ndarray, n: np.ndarray, lines: bytes | memoryview) -> bytes:
     """Routes (or none), kinds, numbers and phrases of rows; no word holds a line end, so that may part the phrases."""
-    return np.array([len(n), len(routes)], np.uint32).tobytes() + routes.tobytes() + kinds.astype(np.uint8).tobytes() + n.astype("<i8").tobytes() + b"\n".join(said.to_pylist())
+    return b"".join([len(n).to_bytes(4, "little"), len(routes).to_bytes(4, "little"), routes.tobytes(), kinds.tobytes(), n.tobytes(), lines])
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:

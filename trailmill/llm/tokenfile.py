@@ -92,7 +92,7 @@ class Encoder:
         """Packed ids of each text, without end id."""
         whole = [i for i, t in enumerate(texts) if SPECIAL in t or APART.encode() in t]
         odd = dict(zip(whole, self.ids([texts[i].decode() for i in whole]), strict=True)) if whole else {}
-        words, _, text = cut_words([b"" if i in odd else t for i, t in enumerate(texts)], SPACE, LOWER, _cut)
+        words, _, text, _ = cut_words([b"" if i in odd else t for i, t in enumerate(texts)], SPACE, LOWER, _cut)
         kinds = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
