@@ -16,21 +16,21 @@ def turns(key: str, order: list[str]):
 def loop_flags(rows: DataFrame, key: str, order: list[str], action: str, nothing: Column) -> DataFrame:
     """Adds aaa, abab, streak (of nothing so far), recent (distinct actions of the last 20, null before there are 20), n (turn from 1).
 
-    All windows share one partitioning and order: one shuffle, one sort.
+    All windows share one partitioning and order: one shuffle, one sort. A null ``nothing`` counts as something.
     """
     w = turns(key, order)
     a = F.col(action)
     flagged = rows.withColumns({
         "n": F.row_number().over(w), "_a1": F.lag(a, 1).over(w), "_a2": F.lag(a, 2).over(w), "_a3": F.lag(a, 3).over(w),
-        "_reset": F.sum(F.when(nothing, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)), "_nothing": nothing.cast("int"),
+        "_nothing": F.coalesce(nothing, F.lit(False)),
         "recent": F.size(F.collect_set(a).over(w.rowsBetween(1 - RECENT, 0))),
     })
     return flagged.withColumns({
         "aaa": F.coalesce((a == F.col("_a1")) & (a == F.col("_a2")), F.lit(False)),
         "abab": F.coalesce((a == F.col("_a2")) & (F.col("_a1") == F.col("_a3")) & (a != F.col("_a1")), F.lit(False)),
         "recent": F.when(F.col("n") >= RECENT, F.col("recent")),
-        "streak": F.sum("_nothing").over(W.partitionBy(key, "_reset").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)),
-    }).drop("_a1", "_a2", "_a3", "_nothing", "_reset")
+        "streak": (F.col("n") - F.coalesce(F.max(F.when(~F.col("_nothing"), F.col("n"))).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))).cast("long"),
+    }).drop("_a1", "_a2", "_a3", "_nothing")
 
 
 def kill_reason(flags: DataFrame, rule: str = "rollout") -> Column:
