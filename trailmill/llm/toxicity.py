@@ -25,9 +25,10 @@ from trailmill.llm.common import arrow, crc_mod, id_and_text, out, pieces, raw,
 from trailmill.llm.subwords import averages, bag
 
 SIZES, BITS, DIM = range(3, 7), 19, 8
-#: Standard errors by which an n-gram must tell the labels apart to get a vector: of 2 to 4, on held-out rows of two sizes, fewer let n-grams of
-#: single texts in (recall falls to 0.39 at 2), more leave the training side half unlearned.
-LEAST_Z, EPOCHS = 3.0, 100
+#: Standard errors by which an n-gram must tell the labels apart to get a vector: fewer let n-grams of single texts in, which costs precision on held-out rows.
+LEAST_Z = 4.0
+#: Rows of a step, and about how many steps a fit takes: between so many passes over the rows. Few rows need more passes, many overfit by them.
+BATCH, STEPS, EPOCHS = 64, 2100, (30, 100)
 #: Most labelled rows of each label that a model is fitted on.
 PER_CLASS = 3000
 #: A text is called toxic from this score on.
@@ -43,11 +44,12 @@ def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least
     return np.flatnonzero(np.abs(held[1] / n[1] - held[0] / n[0]) >= least_z * error)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EPOCHS, step: float = 0.4, least_z: float = LEAST_Z, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int | None = None, step: float = 0.4, least_z: float = LEAST_Z, seed: int = 7) -> tuple[np.ndarray, float]:
     """Each bucket's contribution to the margin, and the bias. prior: share of label 1 where scores will be made."""
     if len(set(labels.tolist())) < 2:
         p = min(max(float(np.mean(labels)) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p)))
+    epochs = epochs or min(max(EPOCHS[0], STEPS * BATCH // len(texts)), EPOCHS[1])
     bags = [bag(t, SIZES, BITS) for t in texts]
     common = telling(bags, labels, least_z)
     place = np.full(1 << BITS, -1, np.int64)
@@ -61,7 +63,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EPOC
     share = np.array([np.mean(labels == 0), np.mean(labels == 1)])
     for _ in range(epochs):
         order = rng.permutation(len(bags))
-        for rows in np.array_split(order, max(1, len(order) // 64)):
+        for rows in np.array_split(order, max(1, len(order) // BATCH)):
             at = np.concatenate([bags[r][0] for r in rows])
             part = np.concatenate([bags[r][1] for r in rows]).astype(np.float32)
             row = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
