@@ -119,3 +119,30 @@ def test_one_row_of_each_class_stays(spark, odd):
     """Of an id's several rows the first by text and then by all columns, whatever the partitions."""
     got = [sorted((r["doc_id"] or 0, r["source"] or "") for r in neardup.keep_one(odd.repartition(n)).collect()) for n in (2, 5)]
     assert got[0] == got[1] and [s for i, s in got[0] if i == 9003] == ["s"]
+
+
+def test_near_copies_of_one_group_meet_before_all_pairs_do(spark, monkeypatch):
+    rng, words = random.Random(11), [f"w{i}" for i in range(3000)]
+    base, made = [rng.choice(words) for _ in range(150)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        made.append((k, " ".join(w)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in made]
+    root = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    rows, across = [], neardup.across
+
+    def counted(rest, near):
+        rows.append((got := across(rest, near)).count())
+        return got
+
+    monkeypatch.setattr(neardup, "across", counted)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(rows) <= 300

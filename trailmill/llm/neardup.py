@@ -9,8 +9,8 @@ whole texts, by the exact probability Jaccard of the same weights.
 
 Work by group size. Equal texts are one node. In a bucket ``LEADERS`` nodes lead, and of all the leaders it meets each node is
 verified against one: of those surely similar by estimate the first in an order of all nodes, else the most similar. So a group
-sends one pair a node, whatever its size, and most of it becomes one component. Only nodes of *different* components that share a
-bucket are compared further: of two components the most similar pair first, the other pairs only if that one isn't a link. No partner and
+sends one pair a node, whatever its size, and most of it becomes one component. Then nodes of *different* components that share a
+bucket meet more leaders, and of two components the most similar pair so met is verified. What still lies apart is compared whole, node by node. No partner and
 no bucket is capped. Estimates are made inside the joins from registers of their own (``MARKS``, of the nodes that share a bucket at all); pairs that are three
 standard errors below the threshold go no further. Texts are fetched once, by their digests.
 
@@ -33,6 +33,8 @@ WORDS, SIMILAR = 5, 0.8
 #: 32 bands of 8 registers: of pairs at 0.8, 997 of 1000 share a band; links within a class make up for the rest.
 BANDS, ROWS = 32, 8
 LEADERS = 3
+#: Leaders of a bucket for the components that still lie apart in it; they only spare pairs: what they don't link is compared whole.
+MORE_LEADERS = 8
 #: Registers, drawn apart from those of the bands, that estimate the similarity of what met: 4 bits of each, in longs;
 #: and the standard errors that an estimate may lie below the threshold.
 MARKS, PER_LONG, ERRORS = 512, 16, 3.0
@@ -201,6 +203,17 @@ def rooted(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed, "band", "left_semi")
 
 
+def more_links(rest: DataFrame, near: float) -> DataFrame:
+    """For two components that meet at a leader, the pair most similar by estimate: a, digest_a, b, digest_b, root_a, root_b."""
+    node = F.struct("rep", "digest", "bits", "root")
+    leaders = rest.groupBy("band").agg(*(F.min_by(node, F.xxhash64("digest", F.lit(LEADERS + k))).alias(f"lead{k}") for k in range(MORE_LEADERS)))
+    offer = lambda lead: F.when((lead["root"] != F.col("root")) & (agreement(F.col("bits"), lead["bits"]) >= near), F.struct(agreement(F.col("bits"), lead["bits"]).alias("like"), lead["rep"].alias("b"), lead["digest"].alias("digest_b"), lead["root"].alias("root_b")))
+    offers = F.array_compact(F.array(*(offer(F.col(f"lead{k}")) for k in range(MORE_LEADERS))))
+    met = rest.join(leaders, "band").select(F.col("rep").alias("a"), F.col("digest").alias("digest_a"), F.col("root").alias("root_a"), F.explode(offers).alias("offer")).select("a", "digest_a", "root_a", "offer.*")
+    best = F.max_by(F.struct("a", "digest_a", "b", "digest_b", "root_a", "root_b"), F.struct("like", "digest_a", "digest_b"))
+    return met.groupBy(F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")).agg(best.alias("p")).select("p.*")
+
+
 def across(rest: DataFrame, near: float) -> DataFrame:
     """Pairs of nodes of different roots in one bucket that are similar by estimate; each once, in the first bucket it shares."""
     other = rest.select(*(F.col(c).alias(f"other_{c}") for c in ("band", "rep", "digest", "root", "bands", "bits")))
@@ -233,18 +246,18 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     tried = stored(first_links(bucketed, near), "pairs")
     links = stored(verified(tried, texts, least).unionByName(alike), "links")
     roots = stored(components(links), "roots")
-    # What is left: nodes of different components in one bucket. Of two components first the most similar pair is verified;
-    # the others only if that doesn't join them.
-    rest = rooted(bucketed, roots).join(nodes.select("digest", "bands"), "digest")
-    met = stored(across(stored(rest, "rest"), near).join(tried, pair, "left_anti").join(tried.select(F.col("b").alias("a"), F.col("digest_b").alias("digest_a"), F.col("a").alias("b"), F.col("digest_a").alias("digest_b")), pair, "left_anti"), "met")
-    best = met.groupBy("root_a", "root_b").agg(F.max_by(F.struct(*pair), F.struct("like", "digest_a", "digest_b")).alias("p")).select("p.*", "root_a", "root_b")
-    first = stored(verified(best.select(*pair), texts, least), "links")
-    to = lambda rows: rows.join(met.select("a", "b", "root_a", "root_b").distinct(), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    roots = stored(relabelled(roots, to(first)), "roots")
-    now = roots.select(F.col("node").alias("root_a"), F.col("root").alias("now_a"))
-    left = met.join(now, "root_a", "left").join(now.toDF("root_b", "now_b"), "root_b", "left").where("coalesce(now_a, root_a) <> coalesce(now_b, root_b)")
-    late = stored(verified(left.select(*pair).distinct(), texts, least), "links")
-    roots = relabelled(roots, late.join(left.select("a", "b", F.coalesce("now_a", "root_a").alias("x"), F.coalesce("now_b", "root_b").alias("y")).distinct(), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # What is left: nodes of different components in one bucket. Of two components first one pair is verified; all others
+    # only if that doesn't join them.
+    between = lambda links, pairs: links.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    rest = stored(rooted(bucketed, roots), "rest")
+    pairs = stored(more_links(rest, near), "pairs")
+    roots = stored(relabelled(roots, between(stored(verified(pairs.select(*pair), texts, least), "links"), pairs)), "roots")
+    rest = rooted(rest.drop("root"), roots).join(nodes.select("digest", "bands"), "digest")
+    done = tried.unionByName(pairs.select(*pair))
+    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("digest_b").alias("digest_a"), F.col("a").alias("b"), F.col("digest_a").alias("digest_b")))
+    met = stored(across(stored(rest, "rest"), near).join(done, pair, "left_anti"), "met")
+    late = stored(verified(met.select(*pair), texts, least), "links")
+    roots = relabelled(roots, between(late, met))
     return same.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
 
 
