@@ -6,7 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.llm import media, neardup, secrets
+from trailmill.llm import bpe, media, neardup, secrets
 from trailmill.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +146,18 @@ def test_near_copies_of_one_group_meet_before_all_pairs_do(spark, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(root))
     assert sum(rows) <= 300
+
+
+def test_codec_keeps_no_pre_tokens_after_a_task(spark):
+    def kept(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            c = bpe.codec(*bpe.public_vocabulary())
+            yield pa.RecordBatch.from_pydict({"n": [len(c.new) + len(c.old)] * b.num_rows})
+
+    rows = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string").coalesce(1)
+    ids = stored(bpe.encode(rows, *bpe.public_vocabulary()), "ids")
+    assert [r["text"] for r in bpe.decode(ids, *bpe.public_vocabulary()).collect()] == ["some words of a text"]
+    after = spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()
+    assert {r["n"] for r in after} == {0}

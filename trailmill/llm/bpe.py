@@ -22,7 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from trailmill.llm.common import arrow, id_and_text, out, pieces, table
+from trailmill.llm.common import arrow, give_back, id_and_text, out, pieces, table
 
 #: Pre-tokens remembered in each of the two generations of a worker's memory.
 REMEMBERED = 250_000
@@ -92,6 +92,10 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ids) + 1)
         for t, r in self.ranks.items():
             self.bytes_of[r] = t
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of pre-tokens."""
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -155,7 +159,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of each text."""
+    """doc_id and ids (array of int) of each text. What a task has remembered goes with it, so that the stages that follow in the same worker have its memory."""
 
     def run(batches):
         c, to = codec(path, pattern), arrow("doc_id long, ids array<int>")
@@ -164,6 +168,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             yield out(to, b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), ids).cast(to.field(1).type))
+        c.forget()
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
