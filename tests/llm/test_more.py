@@ -6,7 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.llm import bpe, media, neardup, secrets
+from trailmill.llm import bpe, lm, media, neardup, secrets
 from trailmill.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +161,21 @@ def test_codec_keeps_no_pre_tokens_after_a_task(spark):
     assert [r["text"] for r in bpe.decode(ids, *bpe.public_vocabulary()).collect()] == ["some words of a text"]
     after = spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()
     assert {r["n"] for r in after} == {0}
+
+
+def test_contexts_beyond_the_classes_are_counted_whole(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(40)).encode() for _ in range(20)]
+    tokens = [w for t in texts for w in [*t.split(), lm.END]]
+    hashes = lm.hashes(sorted({*tokens}))[0]
+    head = lm.Head(hashes[:9], hashes[:9] * 0 + 1, len(tokens), len(hashes), 0)  # 9 of 61 words have classes of their own
+    at, near, far, doc = lm.grams(texts, lm.WordTable(head.describe))
+    assert len(at) == len(near) == len(far) == len(doc) == len(tokens)  # a row for each token, none dropped
+    code = [int(c) for c in head.describe(tokens)[1]]
+    want_near, want_far, begins = [], [], True
+    for i, w in enumerate(tokens):
+        want_near.append(lm.BEGIN if begins else code[i - 1])
+        before = lm.BEGIN if begins or want_near[-2] == lm.BEGIN else code[i - 2]
+        want_far.append(lm.FAR + 2 if before == lm.BEGIN else min(before, lm.FAR + 1))
+        begins = w == lm.END
+    assert near.tolist() == want_near and far.tolist() == want_far
