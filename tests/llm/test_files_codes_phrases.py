@@ -1,6 +1,7 @@
 """Token files, vector codes and phrases: against the library, brute force and SQL."""
 
 import collections
+import os
 import random
 import zlib
 
@@ -247,6 +248,20 @@ def test_phrases_against_brute_force(spark, least, top, places, fan_out):
     assert sorted(map(tuple, got.collect())) == slow_phrases(rows, least=least, top=top)
 
 
+def test_phrases_are_written_by_few_tasks(spark):
+    folder, cores = spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), spark.sparkContext.defaultParallelism
+    before, n = {*os.listdir(folder)} if os.path.isdir(folder) else set(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8 * cores)
+    try:
+        rows = chatter(300)
+        got = phrases.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3 * cores), least=2)
+        assert sorted(map(tuple, got.collect())) == slow_phrases(rows, least=2) and got.rdd.getNumPartitions() <= cores
+        files = {f.split("-")[0]: sum(x.endswith(".parquet") for x in os.listdir(f"{folder}/{f}")) for f in {*os.listdir(folder)} - before}
+        assert {*files} == {"words", "phrases", "ranges"} and max(files.values()) <= cores, files
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
 def test_phrases_of_nothing(spark, none, docs):
     assert phrases.collocations(none).count() == 0
     assert phrases.collocations(docs.limit(3)).count() == 0

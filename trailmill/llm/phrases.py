@@ -33,6 +33,8 @@ from trailmill.shared import stored
 LEAST, INSIDE_PERCENT, TOP = 10, 50, 2000
 #: Text bytes sorted at once; suffixes that a place is meant for; a word is frequent from 1 / FREQUENT of a place's share.
 BLOCK_BYTES, PLACE_ROWS, FREQUENT = 4_000_000, 500_000, 8
+#: Places whose phrases lie in one file, where there are more places than cores.
+PLACES_A_FILE = 64
 
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces; and A-Z in lower case.
 KIND = np.zeros(256, np.uint8)
@@ -347,16 +349,18 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSIDE_PERCENT, top: int = TOP, place_rows: int = PLACE_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two or three words."""
     spark = docs.sparkSession
-    counted = stored(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "words")
+    cores = spark.sparkContext.defaultParallelism
+    counted = stored(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "words", cores)
     langs, words = counted.where("word IS NULL").select(F.col("lang").alias("of"), F.col("n").alias("all_words")), counted.where("word IS NOT NULL")
     total = langs.agg(F.coalesce(F.sum("all_words"), F.lit(0))).first()[0]
     places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // place_rows))
+    files = max(cores, places // PLACES_A_FILE)
     often = max(least, total // (FREQUENT * places))
     frequent: dict[str, list[str]] = {}
     for r in words.where(F.col("n") >= often).select("lang", "word").collect():  # at most FREQUENT for each place
         frequent.setdefault(r["lang"], []).append(r["word"])
     common = common_words(words, words.count())
-    found = stored(frequent_phrases(at_places(docs, frequent, common, places, fan_out), least), "phrases")
+    found = stored(frequent_phrases(at_places(docs, frequent, common, places, fan_out), least), "phrases", files)
     pairs = found.where("w3 IS NULL").select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("a").alias("n"))
     ends = look_up(found.withColumn("last", F.coalesce("w3", "w2")), words, ["lang", "w1"], ["lang", "word"], "f1", often)
     ends = look_up(ends, words, ["lang", "last"], ["lang", "word"], "f_last", often)
@@ -370,8 +374,10 @@ def collocations(docs: DataFrame, least: int = LEAST, inside_percent: int = INSI
     short = ends.where("w3 IS NULL").join(around, (F.col("lang") == F.col("_lang")) & (F.col("w1") == F.col("_x")) & (F.col("w2") == F.col("_y")), "left")
     short = short.where(F.col("most").isNull() | (100 * F.col("most") < inside_percent * F.col("a")))
     short = short.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f_last").alias("r"), _score(F.col("a"), F.col("f1"), F.col("f_last")).alias("score"))
-    ranked = numbered_within(longer.unionByName(short), ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "rank").where(F.col("rank") < top)
+    ranked = numbered_within(longer.unionByName(short), ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "rank", files=files).where(F.col("rank") < top)
     few = langs.limit(50_001).count() <= 50_000  # a row for each language
+    if few:
+        ranked = ranked.repartition(cores)  # ``top`` rows of each language, that many tasks need not write
     return ranked.join(F.broadcast(langs) if few else langs, F.col("lang") == F.col("of")).select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", F.col("all_words").alias("n"), "score")
 
 

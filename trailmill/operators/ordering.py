@@ -27,14 +27,15 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
-def ranges(rows: DataFrame, order: list[Column], partitions: int | None = None) -> tuple[DataFrame, str, str]:
-    """The rows in ranges of ``order``, stored, and the names of the columns with the range and the place in it (both new)."""
+def ranges(rows: DataFrame, order: list[Column], partitions: int | None = None, files: int | None = None) -> tuple[DataFrame, str, str]:
+    """The rows in ranges of ``order``, stored, and the names of the columns with the range and the place in it (both new). ``files``: tasks that write, several ranges each."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie, part, at = (free(x, rows.columns) for x in ("_tie", "_part", "_at"))
     kept = rows.withColumn(tie, F.monotonically_increasing_id())
     dealt = kept.repartitionByRange(n, *order, F.col(tie)).sortWithinPartitions(*order, F.col(tie)).drop(tie)
     own = F.monotonically_increasing_id()
-    return stored(dealt.withColumn(part, F.shiftright(own, 33).cast("int")).withColumn(at, own.bitwiseAND(F.lit(PLACE))), "ranges"), part, at
+    placed = dealt.withColumn(part, F.shiftright(own, 33).cast("int")).withColumn(at, own.bitwiseAND(F.lit(PLACE)))
+    return stored(placed if files is None else placed.coalesce(files), "ranges"), part, at
 
 
 def offsets(placed: DataFrame, part: str, amount: Column) -> DataFrame:
@@ -52,14 +53,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number", partiti
     return placed.join(F.broadcast(before), part).select(*rows.columns, (F.col(at) + F.col(f"{at}_before")).alias(name))
 
 
-def numbered_within(rows: DataFrame, by: list[str], order: list[Column], name: str = "number", partitions: int | None = None) -> DataFrame:
+def numbered_within(rows: DataFrame, by: list[str], order: list[Column], name: str = "number", partitions: int | None = None, files: int | None = None) -> DataFrame:
     """Adds ``name``: the row's place among the rows of equal ``by`` (nulls are equal), from 0.
 
     A group of any size lies in as many ranges as it needs. Its first number is the least of a row for each of its ranges,
     and rows meet it by group and range, so no key of that join holds more than a range.
     """
     whole, every = free("_number", rows.columns), free("_range", rows.columns)
-    placed, part, at = ranges(rows, [*(F.col(b) for b in by), *order], partitions)
+    placed, part, at = ranges(rows, [*(F.col(b) for b in by), *order], partitions, files)
     before = offsets(placed, part, F.count("*")).withColumnRenamed("before", f"{at}_before")
     known = placed.join(F.broadcast(before), part).withColumn(whole, F.col(at) + F.col(f"{at}_before")).drop(at, f"{at}_before").withColumnRenamed(part, every)
     keys = [(b, f"{whole}_{i}") for i, b in enumerate(by)]
