@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,27 @@ def test_files_against_the_library(spark, docs, library):
     assert sorted((r["doc_id"], r["start"], r["n_ids"]) for r in some) == sorted(w[:3] for w in want if w[0] in (4, 6))
 
 
+def test_files_are_written_by_few_tasks(spark, docs, library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_DOCS", 2)  # several files a range
+    shared, cores, n = spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i * 7 % 300 if i % 50 else None, f"text {i % 90} of " + "many words " * (i % 11), "en") for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", 8 * cores)
+    try:
+        before = {*os.listdir(shared)} if os.path.isdir(shared) else set()
+        folder = tokenfile.write(spark.createDataFrame(rows, SCHEMA).repartition(3 * cores), tokenfile.public_vocabulary())
+        got = tokenfile.digests(spark, folder)
+        names = [f"{folder.removeprefix('file:')}/files/{x}" for x in os.listdir(f"{folder.removeprefix('file:')}/files") if x.endswith(".parquet")]
+        assert len(names) <= cores and got.rdd.getNumPartitions() <= cores
+        assert [x.split("-")[0] for x in {*os.listdir(shared)} - before] == ["tokens"]  # no frames are left
+        held = [pq.ParquetFile(x).metadata for x in names]
+        assert sum(m.num_rows for m in held) > len(names) and all(m.num_row_groups == m.num_rows for m in held)
+        order = sorted(((i, ids_of(library, t)) for i, t, _ in rows), key=lambda r: (r[0] is None, r[0] or 0, len(r[1]), zlib.crc32(np.array(r[1], "<u4").tobytes())))
+        starts = np.cumsum([0, *(len(x) for _, x in order)]).tolist()
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(i, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, x), s in zip(order, starts, strict=False)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
 def test_files_of_nothing(spark, none):
     folder = tokenfile.write(none, tokenfile.public_vocabulary())
     assert tokenfile.digests(spark, folder).count() == 0 and tokenfile.read(spark, folder, [1]).count() == 0

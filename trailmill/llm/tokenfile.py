@@ -26,18 +26,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.llm.common import arrow, cut_words, id_and_text, out, pieces, raw, table
 from trailmill.operators.ordering import offsets
-from trailmill.shared import new_path, stored
+from trailmill.shared import new_path
 
 #: Bound of the dictionary's sample: so many documents of so many characters at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SPARE = 2000, 4096, 16
 DICTIONARY_BYTES, LEVEL = 65536, 3
 #: A file ends after so many bytes of frames, or documents; a longer single document has its own.
 FILE_BYTES, FILE_DOCS = 4_000_000, 16_384
+#: Bytes of frames that one task writes; a row is a row group, so a task holds one file in memory and any number of tasks may read what it wrote.
+WRITTEN_BYTES = 64_000_000
+#: Documents whose digests one task gives out.
+GIVEN_DOCS = 1_000_000
 #: Text bytes encoded at once.
 BLOCK_BYTES = 8_000_000
 MAGIC, HEAD = b"TMZ1", "<4sHH8sI"
@@ -214,13 +219,26 @@ FILES = "part int, seq int, start_in_part long, n_docs long, n_ids long, first_i
 def write(docs: DataFrame, path: str, end: int = END) -> str:
     """Encodes and writes ``docs``; gives the new folder, with ``dictionary`` (one row) and ``files``.
 
-    Frames are stored before they are ranged: finding the ranges reads them once more, and only then no text is encoded twice.
+    Frames are kept on the executors' disks before they are ranged: finding the ranges reads them once more, and only then no text is encoded twice.
+    Few tasks write the files, each all of several ranges: ``WRITTEN_BYTES`` of frames a task, and at least as many tasks as there are cores.
     """
     spark = docs.sparkSession
     dictionary, to = train_dictionary(docs, path, end), new_path(spark, "tokens")
-    rows = stored(frames(docs, path, dictionary, end), "frames").withColumn("tie", F.monotonically_increasing_id())
+    kept = frames(docs, path, dictionary, end).persist(StorageLevel.DISK_ONLY)
+    try:
+        _write(kept, dictionary, encoder(path).width, to)
+    finally:
+        kept.unpersist()
+    return to
+
+
+def _write(kept: DataFrame, dictionary: bytes, width: int, to: str) -> None:
+    spark = kept.sparkSession
+    size = kept.agg(F.coalesce(F.sum(F.length("frame")), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // WRITTEN_BYTES))
+    rows = kept.withColumn("tie", F.monotonically_increasing_id())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width, key = encoder(path).width, digest(dictionary)
+    key = digest(dictionary)
     order = [F.col("doc_id").asc_nulls_last(), F.col("n_ids"), F.col("crc"), F.col("tie")]
     sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "n_ids", "frame")
 
@@ -244,8 +262,7 @@ def write(docs: DataFrame, path: str, end: int = END) -> str:
             yield file()
 
     spark.createDataFrame([(key, dictionary)], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{to}/dictionary")
-    sorted_rows.mapInArrow(run, FILES).write.parquet(f"{to}/files")
-    return to
+    sorted_rows.mapInArrow(run, FILES).coalesce(tasks).write.option("parquet.block.row.count.limit", 1).parquet(f"{to}/files")
 
 
 def opened(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
@@ -298,7 +315,8 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
                 starts = start.as_py() + np.concatenate([[0], np.cumsum(f.counts, dtype=np.int64)])[:-1]
                 yield out(to, f.ids, starts, f.counts.astype(np.int64), [crc_of(f.packed(i), f.width) for i in range(len(f.ids))])
 
-    return with_starts(files).mapInArrow(run, schema)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] // GIVEN_DOCS))
+    return with_starts(files).mapInArrow(run, schema).repartition(tasks)  # four numbers a document, which few tasks may write
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
