@@ -3,6 +3,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,20 @@ def test_contexts_beyond_the_classes_are_counted_whole(monkeypatch):
         want_far.append(lm.FAR + 2 if before == lm.BEGIN else min(before, lm.FAR + 1))
         begins = w == lm.END
     assert near.tolist() == want_near and far.tolist() == want_far
+
+
+def test_contexts_are_sums_over_the_shards(spark):
+    """Training reads the texts twice; the contexts' numbers, which a third reading gave, are those of the tokens themselves."""
+    rng, read = random.Random(8), spark.sparkContext.accumulator(0)
+    texts = ["", "one", *(" ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 60))) for _ in range(80))]
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).mapInArrow(counted, "doc_id long, text string")
+    _, head = lm.train(docs)
+    assert read.value == 2 * len(texts)
+    _, near, far, _ = lm.grams([t.encode() for t in texts], lm.WordTable(head.describe))
+    assert (head.contexts.ravel() == np.bincount(near << 3 | far, minlength=head.contexts.size)).all() and head.contexts.sum() == len(near)
