@@ -1,5 +1,7 @@
 """Damaged chunks, keys joined in one run, and pipeline stages on odd tables."""
 
+import collections
+import math
 import random
 import string
 
@@ -197,3 +199,48 @@ def test_contexts_are_sums_over_the_shards(spark):
     assert read.value == 2 * len(texts)
     _, near, far, _ = lm.grams([t.encode() for t in texts], lm.WordTable(head.describe))
     assert (head.contexts.ravel() == np.bincount(near << 3 | far, minlength=head.contexts.size)).all() and head.contexts.sum() == len(near)
+
+
+def test_whole_contexts_are_counted(spark):
+    """Scores are those of a plain loop over whole contexts, rare words among them, within what quantising leaves; rare contexts tell words apart."""
+    rng = random.Random(5)
+    rare = [f"r{i}" for i in range(36_000)]  # more words than have classes of their own
+    often = [f"o{int(i)}" for i in range(40) for _ in range(40 - i)]
+    texts = [" ".join(w if rng.random() < 0.7 else f"{w} {rng.choice(often)}" for w in rare[k : k + 120] * 3) for k in range(0, 36_000, 120)] + ["z1 z2 y1", "z3 z4 y2"]
+    asked = [*texts[:40], "z1 z2 y1", "z1 z2 y2", "z3 z4 y1", "z9 z2 y1 o1 o2", "o1 z2 o3 o4 o5", "", "new"]
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    head = model[1]
+    names = sorted({w for t in [*texts, *asked] for w in t.encode().split()})
+    code = dict(zip(names, (int(c) for c in head.codes(lm.hashes(names)[0]))))
+
+    def grams(text):
+        """word, classes near and far, whole contexts of one and two."""
+        words = [None, None, *text.encode().split(), lm.END]
+        for x, a, w in zip(words, words[1:], words[2:]):
+            near = lm.BEGIN if a is None else code[a]
+            far = lm.FAR + 2 if a is None or x is None else min(code[x], lm.FAR + 1)
+            yield w, near, far, a, x
+
+    c1, c2, c3, t2, t3, b2, b3, d2, d3 = (collections.Counter() for _ in range(9))
+    for t in texts:
+        for w, near, far, a, x in grams(t):
+            for c, key in ((c1, w), (c2, (near, w)), (c3, (near, far, w)), (t2, (a, w)), (t3, (x, a, w)), (b2, near), (b3, (near, far)), (d2, a), (d3, (x, a))):
+                c[key] += 1
+    assert len(c1) > lm.HEAD + 500 and code[b"z1"] == code[b"z2"] == code[b"y1"] == 0 < sum(c > 0 for c in code.values())
+
+    def plain(text):
+        total = 0.0
+        for w, near, far, a, x in grams(text):
+            p = float(head.first(np.array([c1[w]]))[0])
+            p = (c2[near, w] + lm.M2 * p) / (b2[near] + lm.M2)
+            p = (c3[near, far, w] + lm.M3 * p) / (b3[near, far] + lm.M3)
+            if a is not None:
+                one = 0 if code[a] else lm.ONE
+                p = (lm.TWO * t3[x, a, w] + one * t2[a, w] + lm.M4 * p) / (lm.TWO * d3[x, a] + one * d2[a] + lm.M4)
+            total += math.log10(p)
+        return total
+
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(plain(t), rel=0.02), t
+    assert got[40] > got[41] + 0.3 and got[40] > got[42] + 0.3
