@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -312,3 +313,13 @@ def test_word_masks_within_a_budget():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert scoring.lcs_length(a, b) == scoring.lcs_length(a, b, 0) == table[-1][-1]
+
+
+def test_rooms_of_a_long_prompt(spark):
+    """Thousands of blocks of few rooms: their cost grows with the blocks, not with pairs of them; the last block of a room counts, the first is found."""
+    rooms = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.concat(F.lit("[Room "), (i % 50).cast("string"), F.lit("]\nthing "), i.cast("string"))), "\n\n")
+    got = spark.range(1).select(text.room_blocks(rooms).alias("b")).select(text.rooms_of(F.col("b")).alias("r"), text.contents_of(F.col("b"), F.lit("Room 7")).alias("c"))
+    began = time.time()
+    row = got.first()
+    assert {r["key"]: r["value"] for r in row["r"]} == {f"room {i}": f"thing {59_950 + i}" for i in range(50)} and row["c"] == "thing 7"
+    assert time.time() - began < 60

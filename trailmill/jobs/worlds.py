@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmill.functions.text import flat_lines, oxford, parse_action, resolve_instance, room_contents, room_map, thing_exists, verb_slots
+from trailmill.functions.text import contents_of, flat_lines, let, oxford, parse_action, resolve_instance, room_blocks, rooms_of, thing_exists, verb_slots
 from trailmill.jobs.common import table
 from trailmill.operators import replay, rewards, tasks, trajectory
 
@@ -120,8 +120,11 @@ def room_maps(spark, sf_dir):
     block = F.concat(F.lit("[Room "), _s(F.col("p_size")), F.lit("]\n  "), F.col("p_name"), F.lit("\n\tthe agent\n"), F.col("p_type"), F.lit(" "))
     own = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("blocks"))
     prompt = F.concat(F.lit("Task: look\n\n## ROOMS\n\n"), F.col("blocks"), F.lit("\n\n## RULES\n[none]"))
-    rooms = own.select("p_brand", F.explode(room_map(prompt)).alias("room", "contents"), prompt.alias("p"))
-    return rooms.where(F.col("room") != "none").select("p_brand", "room", flat_lines(F.col("contents")).alias("contents"), (F.length(room_contents(F.col("p"), F.initcap(F.col("room")))) > 0).alias("found"))
+    # A brand's blocks are read out of its prompt once, and only what is asked of them goes to the rows of its rooms.
+    def told(blocks: Column) -> Column:
+        return F.transform(F.filter(rooms_of(blocks), lambda r: r["key"] != "none"), lambda r: F.struct(r["key"].alias("room"), flat_lines(r["value"]).alias("contents"), (F.length(contents_of(blocks, F.initcap(r["key"]))) > 0).alias("found")))
+
+    return own.select("p_brand", F.inline(let(room_blocks(prompt), told)))
 
 
 def _moves(spark, sf_dir):
