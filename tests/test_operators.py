@@ -232,3 +232,11 @@ def test_empty_and_null_inputs(spark):
     assert trajectory.quality(none, "k", ["n0"], "a", F.lit(False)).count() == 0
     assert records.page(spark.range(0), [], [F.col("id")]).first()["total"] == 0
     assert one(spark, text.parse_action(F.lit(None).cast("string"))) is None
+
+
+def test_states_are_dealt_once(spark):
+    """Events are shuffled by trajectory and what they change is not: it is several times as much."""
+    rows = spark.createDataFrame([("a", 1, "user", "You pick up the mug 1 from the desk 1."), ("b", 1, "user", "You put the mug 1 on the desk 2.")], "k string, turn int, role string, content string")
+    state = replay.final_state(replay.events(rows, "k", "turn", "content"), "k", "turn")
+    assert {r["k"]: r["inventory"] for r in state.collect()} == {"a": ["mug 1"], "b": []}
+    assert state._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1

@@ -130,10 +130,11 @@ def final_state(found: DataFrame, key: str, turn: str) -> DataFrame:
     """key, current_loc, places, inventory, opened, closed, contents, flags, seen after all events: a row for each trajectory. ``places``: those that a prompt lists (``initial``).
 
     Held things stand in the order in which they were taken, contents in the order in which they came; the other sets by name.
+    Events are dealt by trajectory once; what they change, some rows for each, is made, ordered and grouped where they then lie.
     """
     at, how = F.col("at"), F.col("how")
     place, name = W.partitionBy(key, "what", "place"), W.partitionBy(key, "what", "place", "name")
-    rows = changes(found, key, turn).withColumn("cleared", F.max(F.when(how == "clear", at)).over(place)).withColumn("gone", F.max(F.when(how == "gone", at)).over(name))
+    rows = changes(found.repartition(key), key, turn).withColumn("cleared", F.max(F.when(how == "clear", at)).over(place)).withColumn("gone", F.max(F.when(how == "gone", at)).over(name))
     stays = (how == "add") & (F.col("cleared").isNull() | (at > F.col("cleared"))) & (F.col("gone").isNull() | (at > F.col("gone")))
     one = rows.groupBy(key, "what", "place", "name").agg(F.min(F.when(stays, at)).alias("since"), F.max(at).alias("last"), F.max(how != "gone").alias("kept"))
     timed = F.col("what").isin("held", "in")
