@@ -323,3 +323,17 @@ def test_rooms_of_a_long_prompt(spark):
     row = got.first()
     assert {r["key"]: r["value"] for r in row["r"]} == {f"room {i}": f"thing {59_950 + i}" for i in range(50)} and row["c"] == "thing 7"
     assert time.time() - began < 60
+
+
+def test_packed_folders(spark):
+    """A packed folder gives the rows that a loose one gives; as many folders as there are files take few files on disk."""
+    rows = [("a/x.txt", "one\ntwo\n"), ("a/y.csv", "{}"), ("b/x.txt", ""), ("b/c/x_txt", "no"), ("c/z.csv", None), *((f"d{i}/x.txt", f"text {i}") for i in range(3000))]
+    base = new_path(spark, "test-packed")
+    folders.pack(spark.createDataFrame(rows, "path string, text string").coalesce(2), base)
+    got = sorted(tuple(r) for r in folders.scan_packed(spark, base, "*.txt").collect())
+    assert got == sorted((f"{base}/{p}", f"{base}/{p}".rsplit("/", 1)[0], p.rsplit("/", 1)[1], t) for p, t in rows if p.endswith(".txt"))
+    assert [(r["path"].split("/")[-2:], r["text"]) for r in folders.scan_packed(spark, base, "?.csv").collect()] == [(["a", "y.csv"], "{}")]
+    assert folders.scan_packed(spark, base, "x_txt").count() == 1 and folders.scan_packed(spark, base, "x.tx").count() == 0
+    kept, out = folders.with_sibling(folders.scan_packed(spark, base, "*.txt"), folders.scan_packed(spark, base, "*.csv"))
+    assert [(r["directory"].split("/")[-1], r["sibling"]) for r in kept.collect()] == [("a", "{}")] and out.count() == 3001
+    assert len(spark.read.parquet(base).inputFiles()) == 2
