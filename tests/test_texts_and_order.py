@@ -1,14 +1,17 @@
 """Global order, calls inside of texts, app prompts, folders, sinks, first states, rooms and streams of several batches: hand-made cases."""
 
 import json
+import os
 import random
 import time
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from trailmill.functions import jsonx, text
+from trailmill.jobs import folders as jobs
 from trailmill.operators import apps, ordering, records, replay, sampling, tasks
 from trailmill.shared import new_path
 from trailmill.sources import folders, sinks
@@ -337,3 +340,17 @@ def test_packed_folders(spark):
     kept, out = folders.with_sibling(folders.scan_packed(spark, base, "*.txt"), folders.scan_packed(spark, base, "*.csv"))
     assert [(r["directory"].split("/")[-1], r["sibling"]) for r in kept.collect()] == [("a", "{}")] and out.count() == 3001
     assert len(spark.read.parquet(base).inputFiles()) == 2
+
+
+@pytest.mark.parametrize("name", ["folder_tasks", "folder_skipped"])
+def test_pages_as_files(spark, monkeypatch, name):
+    """Odd pages (none, repeated, without html) are what the SQL says, and a page is no file of its own on disk."""
+    base, path = new_path(spark, "test-pages"), new_path(spark, "test-page-folders")
+    monkeypatch.setattr(jobs, "new_path", lambda spark, name: path)
+    spark.createDataFrame([(None, "u", "x"), (1, "u", None), (7, "u", None), (11, "u", "x"), *((i % 290, "u", "x" * i) for i in range(300))], "page_id long, url string, html string").coalesce(1).write.parquet(f"{base}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{base}/pages.parquet/*.parquet'")
+    got = jobs.QUERIES[name](spark, base)
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({jobs.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 60
+    assert sum(len(files) for _, _, files in os.walk(path)) < 20
