@@ -201,14 +201,15 @@ def test_contexts_are_sums_over_the_shards(spark):
     assert (head.contexts.ravel() == np.bincount(near << 3 | far, minlength=head.contexts.size)).all() and head.contexts.sum() == len(near)
 
 
-def test_whole_contexts_are_counted(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_whole_contexts_are_counted(spark, parts):
     """Scores are those of a plain loop over whole contexts, rare words among them, within what quantising leaves; rare contexts tell words apart."""
     rng = random.Random(5)
     rare = [f"r{i}" for i in range(36_000)]  # more words than have classes of their own
     often = [f"o{int(i)}" for i in range(40) for _ in range(40 - i)]
     texts = [" ".join(w if rng.random() < 0.7 else f"{w} {rng.choice(often)}" for w in rare[k : k + 120] * 3) for k in range(0, 36_000, 120)] + ["z1 z2 y1", "z3 z4 y2"]
     asked = [*texts[:40], "z1 z2 y1", "z1 z2 y2", "z3 z4 y1", "z9 z2 y1 o1 o2", "o1 z2 o3 o4 o5", "", "new"]
-    model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts))
     got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
     head = model[1]
     names = sorted({w for t in [*texts, *asked] for w in t.encode().split()})
