@@ -39,10 +39,9 @@ FLAGS = {"clean": "clean", "heat": "hot", "cool": "cool", "slice": "sliced", "us
 
 
 def _told(rank: int, kind: str, things: Column, others: Column | None) -> Column:
-    def one(thing: Column, i: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lit(kind).alias("kind"), thing.alias("thing"), (F.get(others, i) if others is not None else F.lit(None).cast("string")).alias("other"))
-
-    return F.transform(things, one)
+    """An event for each thing with what stands at its place in ``others``. Both are zipped, as a list that a lambda reads by place would be searched for again at each place."""
+    pairs = F.zip_with(things, F.array().cast("array<string>") if others is None else others, lambda t, o: F.struct(t.alias("thing"), o.alias("other")))
+    return F.transform(pairs, lambda p, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lit(kind).alias("kind"), p["thing"].alias("thing"), p["other"].alias("other")))
 
 
 def events(messages: DataFrame, key: str, turn: str, content: str, role: str | None = "role", roles: tuple[str, ...] = ("user", "tool")) -> DataFrame:
@@ -75,11 +74,8 @@ def initial(prompts: DataFrame, key: str, prompt: str, turn: str, before: int =
     places, states = lines(scene, SCENE_LINE)
     things, where = lines(located, LOCATION_LINE)
 
-    def told(rank: int, kind: Column, i: Column, thing: Column, other: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), i.alias("pos"), kind.alias("kind"), thing.alias("thing"), other.alias("other"))
-
-    first = F.transform(places, lambda p, i: told(0, F.concat(F.lit("scene_"), F.get(states, i)), i, p, F.lit(None).cast("string")))
-    then = F.transform(things, lambda t, i: told(1, F.lit("located"), i, t, F.get(where, i)))
+    first = F.transform(_told(0, "scene_", places, states), lambda e: F.struct(e["rank"].alias("rank"), e["pos"].alias("pos"), F.concat(e["kind"], e["other"]).alias("kind"), e["thing"].alias("thing"), F.lit(None).cast("string").alias("other")))
+    then = _told(1, "located", things, where)
     return prompts.select(key, F.lit(before).alias(turn), F.explode(F.concat(first, then)).alias("e")).select(key, turn, "e.*")
 
 
